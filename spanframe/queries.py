@@ -1,15 +1,285 @@
-"""The registered trace queries over the driver's tables, and their SQL."""
+"""The registered trace queries over the driver's tables, and their SQL.
+
+The trace is derived from the event table by integer arithmetic that all engines agree on; sums of durations stay exact.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanframe.functions import columns
+from spanframe.operators import counters, filters, flame, joins, lod, overview, ranges, tree
+from spanframe.plans import spans as plan
+from spanframe.plans import sqlapi
+from spanframe.sources import adapter, sinks, trace_json
+
+#: The view that range queries take: five days of the trace, in microseconds from its epoch.
+START, END = 5 * 86_400_000_000.0, 10 * 86_400_000_000.0
+#: The event whose descendants are asked for.
+EVENT = 9480
+
+
+def _trace(spark: SparkSession, d: str) -> trace_json.Trace:
+    return adapter.trace_of(spark, d)
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return adapter.events_of(spark, d)
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    return plan.build_spans(_events(spark, d))
+
+
+def hot_functions(spark: SparkSession, d: str) -> DataFrame:
+    return overview.hot_functions(_events(spark, d)).withColumn("avg_dur", F.round("avg_dur", 3))
+
+
+def a2_longest(spark, d):
+    return overview.longest_events(_events(spark, d)).select("event_id", "name", "ts", "dur")
+
+
+def a3_events_per_thread(spark, d):
+    t = _trace(spark, d)
+    return overview.events_per_thread(t.events, t.processes, t.threads).select("pid", "tid", "process_name", "thread_name", "n")
+
+
+def a4_categories(spark, d):
+    return overview.by_category(_events(spark, d))
+
+
+def a5_counters(spark, d):
+    return overview.counter_summary(_trace(spark, d).counters).withColumn("avg_value", F.round("avg_value", 6))
+
+
+def a6_range_stats(spark, d):
+    r = ranges.range_stats(_spans(spark, d), START, END)
+    return r.select("name", "n", "total", "min_part", "max_part", F.round("avg_part", 3).alias("avg_part"), F.round("pct", 6).alias("pct"), "longest")
+
+
+def a7_children_by_name(spark, d):
+    r = tree.children_by_name(_spans(spark, d), EVENT, descendants=True)
+    return r.select("name", "n", "total", F.round("avg", 3).alias("avg"), "min", "max", F.round("pct", 6).alias("pct"), "longest")
+
+
+def a8_search_stats(spark, d):
+    return filters.name_stats(filters.matching(_events(spark, d), "SMALL")).withColumn("avg_dur", F.round("avg_dur", 3))
+
+
+def a9_flame(spark, d):
+    return flame.flame(_spans(spark, d), START, END)
+
+
+def a9_flame_hidden(spark, d):
+    return flame.flame(_spans(spark, d), START, END, hide_categories=["small"])
+
+
+def a10_flame_zoom(spark, d):
+    nodes = flame.flame(_spans(spark, d), START, END)
+    root = nodes.where("level = 1").orderBy(F.desc("total"), "pid", "tid", "path").limit(1).select("pid", "tid", F.col("path").alias("root"), F.col("total").alias("root_total"))
+    under = nodes.join(F.broadcast(root), ["pid", "tid"]).where((F.col("path") == F.col("root")) | F.col("path").startswith(F.concat("root", F.lit(flame.STEP))))  # root is one row
+    return under.select("pid", "tid", "path", "total", F.round(F.col("total") / F.col("root_total"), 6).alias("share"), F.round(F.try_divide("total", "calls"), 3).alias("avg"))
+
+
+def a11_call_rates(spark, d):
+    return counters.call_rates(_events(spark, d), 0.0001).withColumn("rate", F.round("rate", 9))
+
+
+def a12_runs(spark, d):
+    r = tree.consolidate_runs(_spans(spark, d), EVENT)
+    return r.select("first_event", "name", "depth", "n", "total", "total_self", F.round("avg", 3).alias("avg"), F.round("avg_self", 3).alias("avg_self"))
+
+
+def a13_overview(spark, d):
+    return overview.overview(_trace(spark, d))
+
+
+def a14_builder(spark, d):
+    spec = sqlapi.QuerySpec(
+        "events", select=["name", "category", ("COUNT", "event_id", "n"), ("SUM", "dur", "total"), ("MAX", "ts", "last_ts")],
+        where=[("dur", ">", 1000), ("name", "LIKE", "%I%", "AND"), ("category", "IN", ["small"], "OR")], group_by=["name", "category"], having=[("n", ">", 5)], order_by=[("total", False)], limit=20,
+    )
+    return spec.to_df({"events": _events(spark, d)})
+
+
+def a15_row_counts(spark, d):
+    return sqlapi.row_counts(_trace(spark, d))
+
+
+def b1_thread_order(spark, d):
+    return plan.ordered(_events(spark, d)).select("event_id", "seq")
+
+
+def b2_pairs(spark, d):
+    rows = plan.paired(plan.ordered(adapter.begin_end(_events(spark, d))))
+    return rows.where("NOT is_end").select("event_id", "phase", "ts", "dur")
+
+
+def b4_dedup(spark, d):
+    hours = _events(spark, d).withColumn("ts", F.floor(F.col("ts") / 86_400_000_000) * 86_400_000_000.0).withColumn("name", F.substring("name", 1, 1))
+    return plan.deduplicated(plan.ordered(hours)).where("in_thread").select("event_id", "name", "ts", "dur")
+
+
+def b5_spans(spark, d):
+    return _spans(spark, d).select("event_id", "seq", "depth", "parent_id", "self_time", "child_time", F.round("self_pct", 6).alias("self_pct"))
+
+
+def b6_max_depth(spark, d):
+    return plan.max_depth(_spans(spark, d))
+
+
+def b8_call_stack(spark, d):
+    s = _spans(spark, d)
+    deepest = s.where("in_thread").orderBy(F.desc("depth"), "event_id").limit(1)
+    return deepest.select(F.posexplode(F.concat("path", F.array(F.struct("event_id", "name", "category")))).alias("level", "s")).select("level", "s.event_id", "s.name")
+
+
+def b11_bounds(spark, d):
+    return plan.bounds(_spans(spark, d))
+
+
+def b12_categories(spark, d):
+    return plan.categories(_events(spark, d))
+
+
+def b13_name_index(spark, d):
+    return plan.name_index(_spans(spark, d))
+
+
+def b14_counter_bounds(spark, d):
+    return plan.counter_bounds(_trace(spark, d).counters)
+
+
+def p1_visible(spark, d):
+    return filters.visible(_events(spark, d), hide_pids=[1], hide_tids=[2], hide_categories=["small"]).select("event_id")
+
+
+def p3_thread_counts(spark, d):
+    return filters.thread_counts(_spans(spark, d), _trace(spark, d).threads)
+
+
+def p4_search(spark, d):
+    return filters.search(_events(spark, d), "Li", unique=False).select("event_id", "name", "n", "total_dur")
+
+
+def p6_overlapping(spark, d):
+    return filters.overlapping(_spans(spark, d), START, END).select("event_id")
+
+
+def j3_counter_asof(spark, d):
+    t = _trace(spark, d)
+    probes = t.events.where("event_id % 3 = 0").select("event_id", "pid", "name", (F.col("ts") + 1800000000.0).alias("t"))
+    return joins.counter_asof(t.counters, probes).select("event_id", "point_ts", "value")
+
+
+def j4_flow_edges(spark, d):
+    edges = joins.flow_edges(_spans(spark, d), START, END, hide_tids=[3])
+    return edges.select("flow_id", "src_event", "dst_event_id", "latency").withColumn("flow_id", F.col("flow_id").cast("long"))
+
+
+def j6_span_at(spark, d):
+    s = _spans(spark, d)
+    probes = s.where("in_thread AND event_id % 5 = 0").select("pid", "tid", "depth", (F.col("ts") + 60_000_000).alias("t")).distinct()
+    return joins.span_at(s, probes, 1000.0)
+
+
+def j7_children(spark, d):
+    s = _spans(spark, d)
+    top = s.where("parent_id IS NOT NULL").select("parent_id", "event_id", "dur", "end_ts")
+    up = s.select(F.col("event_id").alias("parent_id"), F.col("dur").alias("p_dur"), F.col("end_ts").alias("p_end"))
+    return top.join(up, "parent_id").where("dur > 0 AND end_ts <= p_end").select("parent_id", "event_id", F.round(F.try_divide(F.col("dur") * 100, F.col("p_dur")), 6).alias("pct"))
+
+
+def j8_range_stats_many(spark, d):
+    days = spark.range(1, 20).select(F.col("id").alias("range_id"), (F.col("id") * 86_400_000_000.0).alias("start"), ((F.col("id") + 2) * 86_400_000_000.0).alias("end"))
+    r = ranges.range_stats_many(_spans(spark, d), days)
+    return r.select("range_id", "name", "n", "total", "min_part", "max_part", "longest")
+
+
+def w1_unique(spark, d):
+    return filters.first_per_name(_events(spark, d)).select("event_id", "name")
+
+
+def w2_longest_instance(spark, d):
+    return tree.longest_instance(_spans(spark, d))
+
+
+def w3_navigation(spark, d):
+    return tree.with_navigation(_spans(spark, d)).select("event_id", "prev_sibling", "next_sibling", "longest_child")
+
+
+def w5_instances(spark, d):
+    return tree.instances(_spans(spark, d), "click").select("event_id", "n", "prev", "next", "dur")
+
+
+def q1_sql(spark, d):
+    t = _trace(spark, d)
+    sqlapi.register(t)
+    text = """SELECT p.name AS process, e.category, count(*) AS n, sum(e.dur) AS total FROM events e JOIN threads t ON e.pid = t.pid AND e.tid = t.tid
+      JOIN processes p ON e.pid = p.pid WHERE e.dur > (SELECT avg(dur) FROM events) GROUP BY p.name, e.category"""
+    return sqlapi.run_sql(spark, text, cap=None).rows
+
+
+def d1_counter_buckets(spark, d):
+    return counters.counter_buckets(_trace(spark, d).counters, START, END, 100)
+
+
+def d2_timeline_lod(spark, d):
+    r = lod.timeline_lod(_spans(spark, d), START, END, 2000)
+    return r.select("pid", "tid", "depth", "kind", F.round("x0", 4).alias("x0"), F.round("x1", 4).alias("x1"), "n", "event_id")
+
+
+def s9_arg_counters(spark, d):
+    asked = _events(spark, d).withColumn("phase", F.lit("C"))
+    return trace_json.counters_of(asked).groupBy("pid", "name").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def s13_csv(spark, d):
+    return sinks.csv_lines(_events(spark, d).select("event_id", "name", "args"))
+
+
+def s14_trace_json(spark, d):
+    lines = sinks.trace_lines(_events(spark, d))
+    parsed = F.from_json("value", "name string, cat string, ph string, ts double, dur double, pid bigint, tid bigint, args map<string,double>")
+    return lines.select(parsed.alias("e")).select("e.name", "e.ts", "e.dur", "e.pid", "e.tid", F.col("e.args")["k"].alias("k"))
+
+
+def x1_format_time(spark, d):
+    scaled = _events(spark, d).select("event_id", (F.col("dur") / F.pow(F.lit(10.0), F.pmod("event_id", F.lit(12)))).alias("us"))
+    return scaled.select("event_id", F.regexp_extract(columns.format_time(F.col("us")), "[a-z]+$", 0).alias("unit"))
+
+
+def x2_source(spark, d):
+    args = F.to_json(F.struct(F.concat(F.lit("C:\\Src\\f"), F.col("tid").cast("string"), F.lit(".py")).alias("src_file"), F.col("pid").alias("lineNumber")))
+    return columns.with_source(_events(spark, d).withColumn("args", args), "c:/src/", "/mnt/code/").select("event_id", "source_file", "source_line")
+
+
+def x3_remap_urls(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    return pages.select("page_id", columns.remap_source_path(F.col("url"), "HTTPS://", "/mirror").alias("path"))
+
+
+def x4_args(spark, d):
+    return columns.explode_args(_events(spark, d))
+
+
+REGISTERED = [
+    hot_functions, a2_longest, a3_events_per_thread, a4_categories, a5_counters, a6_range_stats, a7_children_by_name, a8_search_stats, a9_flame, a9_flame_hidden, a10_flame_zoom,
+    a11_call_rates, a12_runs, a13_overview, a14_builder, a15_row_counts, b1_thread_order, b2_pairs, b4_dedup, b5_spans, b6_max_depth, b8_call_stack, b11_bounds, b12_categories,
+    b13_name_index, b14_counter_bounds, p1_visible, p3_thread_counts, p4_search, p6_overlapping, j3_counter_asof, j4_flow_edges, j6_span_at, j7_children, j8_range_stats_many,
+    w1_unique, w2_longest_instance, w3_navigation, w5_instances, q1_sql, d1_counter_buckets, d2_timeline_lod, s9_arg_counters, s13_csv, s14_trace_json, x1_format_time, x2_source,
+    x3_remap_urls, x4_args,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from spanframe.oracle import oracle_sql as sql
+
+    return sql()
