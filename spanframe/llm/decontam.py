@@ -19,6 +19,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,6 +165,17 @@ class Index:
         return out
 
 
+def _search(items: Broadcast):
+    @F.pandas_udf("ids array<long>, distances array<long>")
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        index = Index(*items.value)
+        for batch in batches:
+            found = [sorted(x.items()) for x in index.search(list(batch))]
+            yield pd.DataFrame({"ids": [[i for i, _ in x] for x in found], "distances": [[d for _, d in x] for x in found]})
+
+    return search
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", params: DecontamParams = DecontamParams()) -> DataFrame:
     """``docs`` with contaminated, kept (its opposite), n_items, item_ids (array, ascending) and least_distance (null if none).
 
@@ -182,14 +194,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # a block at most or little more
         index = spark.sparkContext.broadcast(([(r["item_id"], r["text"]) for r in part], params))
 
-        @F.pandas_udf("ids array<long>, distances array<long>")
-        def search(batches: Iterator[pd.Series], index=index) -> Iterator[pd.DataFrame]:
-            ready = Index(*index.value)
-            for batch in batches:
-                found = [sorted(x.items()) for x in ready.search(list(batch))]
-                yield pd.DataFrame({"ids": [[i for i, _ in x] for x in found], "distances": [[d for _, d in x] for x in found]})
-
-        out = out.withColumn(name, search(F.col(text_col)))
+        out = out.withColumn(name, _search(index)(F.col(text_col)))
     ids = F.array_sort(F.array_distinct(F.concat(*[F.col(h)["ids"] for h in held])))
     distances = F.concat(*[F.col(h)["distances"] for h in held])
     hit = F.size(ids) > 0
