@@ -175,11 +175,11 @@ def test_html_text(spark):
     page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav>menu</nav><article><h1>Head &amp; line</h1><p>One\n two<b>three</b><p>four<div class='comments'>bad</div></article><footer>f</footer>"
     assert htmltext.blocks(page) == [(True, "Head & line"), (True, "One twothree"), (True, "four")]
     long = " ".join(f"common{k}" for k in range(20))
-    rows = [(k, f"http://h/{k}", f"<div>{long}</div><div>own words of page {k} " + " ".join(f"p{k}w{j}" for j in range(15)) + "</div>") for k in range(4)]
+    rows = [(k, f"http://h/{k}", f"<div>{long}</div><div>page{k} has own words " + " ".join(f"p{k}w{j}" for j in range(15)) + "</div>") for k in range(4)]
     pages = spark.createDataFrame([*rows, (9, None, None), (10, "x", ""), (11, "http://h/a", page), (11, "http://h/a", page)], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in htmltext.main_text(pages).collect()}
     assert got[9] == got[10] == "" and got[11] == "Head & line One twothree four"
-    assert all("common" not in got[k] and got[k].startswith(f"own words of page {k}") for k in range(4))
+    assert all("common" not in got[k] and got[k].startswith(f"page{k} has own words") for k in range(4))
     assert htmltext.main_text(pages).count() == 8 and htmltext.main_text(pages.limit(0)).count() == 0
 
 
