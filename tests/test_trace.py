@@ -2,6 +2,7 @@
 
 import json
 import random
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ SCHEMA = "event_id bigint, name string, category string, phase string, ts double
 
 def events(spark, rows):
     """rows: (name, phase, ts, dur) on one thread, or with (pid, tid) after."""
-    return spark.createDataFrame([(k, r[0], "c", r[1], float(r[2]), float(r[3]), *(r[4:6] or (1, 1)), 0, None) for k, r in enumerate(rows)], SCHEMA)
+    return spark.createDataFrame([(k, r[0], "c", r[1], float(r[2]), float(r[3]), *(r[4:6] or (1, 1)), Decimal(0), None) for k, r in enumerate(rows)], SCHEMA)
 
 
 def stack_model(rows):
