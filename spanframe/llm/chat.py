@@ -49,20 +49,21 @@ def fingerprint(value: object) -> int:
     return xxhash.xxh64_intdigest("\n".join(sorted(paths(value))))
 
 
-def _of(*names: str) -> int:
+def path_hash(*names: str) -> int:
+    """The fingerprint of a record that has these field paths."""
     return xxhash.xxh64_intdigest("\n".join(sorted(names)))
 
 
 SHARED = (("human", "user"), ("gpt", "assistant"))
 #: The known layouts, by the fingerprint of their paths.
 MAPPINGS: dict[int, Mapping] = {
-    _of(".messages", ".messages[]", ".messages[].role", ".messages[].content"): Mapping("messages"),
-    _of(".messages"): Mapping("messages"),
-    _of(".conversations", ".conversations[]", ".conversations[].from", ".conversations[].value"): Mapping("conversations", "from", "value", roles=SHARED),
-    _of(".prompt", ".completion"): Mapping(fields=(("prompt", "user"), ("completion", "assistant"))),
-    _of(".instruction", ".output"): Mapping(fields=(("instruction", "user"), ("output", "assistant"))),
-    _of(".instruction", ".input", ".output"): Mapping(fields=(("instruction", "system"), ("input", "user"), ("output", "assistant"))),
-    _of(".system", ".prompt", ".response"): Mapping(fields=(("system", "system"), ("prompt", "user"), ("response", "assistant"))),
+    path_hash(".messages", ".messages[]", ".messages[].role", ".messages[].content"): Mapping("messages"),
+    path_hash(".messages"): Mapping("messages"),
+    path_hash(".conversations", ".conversations[]", ".conversations[].from", ".conversations[].value"): Mapping("conversations", "from", "value", roles=SHARED),
+    path_hash(".prompt", ".completion"): Mapping(fields=(("prompt", "user"), ("completion", "assistant"))),
+    path_hash(".instruction", ".output"): Mapping(fields=(("instruction", "user"), ("output", "assistant"))),
+    path_hash(".instruction", ".input", ".output"): Mapping(fields=(("instruction", "system"), ("input", "user"), ("output", "assistant"))),
+    path_hash(".system", ".prompt", ".response"): Mapping(fields=(("system", "system"), ("prompt", "user"), ("response", "assistant"))),
 }
 
 

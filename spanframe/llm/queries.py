@@ -1,8 +1,7 @@
-"""The registered queries of the training-data operators, and the SQL of those that SQL can express.
+"""The registered queries of the training-data operators.
 
-The digests of base spans follow Python's and Java's leftmost matching with check sums and code-point offsets; the other
-operators hold trained models, walks, hashes or archives. SQL can express the base rules of op9 only in part, so these
-queries are tested against plain brute-force versions in tests/llm.
+SQL can express what op1 and op4 return (spanframe/llm/oracle.py). The others return what trained models, walks or hashes
+that SQL engines lack decide, and are tested against plain brute-force versions in tests/llm.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import chat, decontam, htmltext, mixing, pii, qualityllr, secretscan, simhash, warc, weaklabel
+from spanframe.llm import chat, decontam, htmltext, mixing, oracle, pii, qualityllr, secretscan, simhash, warc, weaklabel
 from spanframe.llm.common import read_table
 
 
@@ -76,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
