@@ -65,7 +65,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain
         raise ValueError(f"{domain_col} has more than {params.most_domains} values")
     domains = sorted(sizes)
     counts = np.zeros((len(domains), params.buckets))
-    rows = sample.select("domain", F.explode("words").alias("word")).groupBy("domain", _bucket(F.col("word"), params).alias("bucket")).count()
+    # explode() would have texts split once more below the join, for all documents, to test that they have words
+    words = sample.select("domain", F.explode_outer("words").alias("word")).where("word IS NOT NULL")
+    rows = words.groupBy("domain", _bucket(F.col("word"), params).alias("bucket")).count()
     for r in rows.collect():  # as many as domains times buckets at most
         counts[domains.index(r["domain"]), r["bucket"]] = r["count"]
     total = sum(sizes.values())
@@ -79,7 +81,9 @@ def memberships(docs: DataFrame, model: DomainModel, id_col: str, text_col: str,
     names = [f"l{k}" for k in range(len(model.domains))]
     table = spark.createDataFrame([(b, *map(float, model.logs[:, b])) for b in range(params.buckets)], "bucket int, " + ", ".join(f"{n} double" for n in names))
     text = F.col(text_col)
-    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.explode_outer(F.split(F.lower(text), WORDS)).alias("word"))
+    # the hash is worked out below the explode, once for a text and not once for each of its words
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.split(F.lower(text), WORDS).alias("words"))
+    words = texts.select("id", "text_hash", F.explode_outer("words").alias("word"))
     words = words.withColumn("word", F.when(F.col("word") != "", F.col("word"))).withColumn("bucket", _bucket(F.col("word"), params))
     scored = words.join(F.broadcast(table), "bucket", "left")
     sums = scored.groupBy("id", "text_hash").agg(F.count("word").alias("tokens"), *[F.sum(F.when(F.col("word").isNotNull(), F.col(n))).alias(n) for n in names])
