@@ -99,6 +99,12 @@ SELECT event_id, phase, ts, CASE WHEN phase = 'B' AND nk = 'E' THEN nx - ts ELSE
         "w5_instances": f"{e} SELECT event_id, row_number() OVER w AS n, lag(event_id) OVER w AS prev, lead(event_id) OVER w AS next, dur FROM e WHERE name = 'click' AND dur > 0 WINDOW w AS (ORDER BY ts, event_id)",
         "q1_sql": f"{e} SELECT 'Process ' || pid AS process, category, count(*) AS n, sum(dur) AS total FROM e WHERE dur > (SELECT avg(dur) FROM e) GROUP BY pid, category",
         "d1_counter_buckets": f"WITH c AS ({counters}), ed AS (SELECT pid, name, max(CASE WHEN ts < {START} THEN (ts, value) END) AS f, min(CASE WHEN ts > {END} THEN (ts, value) END) AS p FROM c GROUP BY pid, name), x AS (SELECT c.*, c.ts > {END} AS past_end, CAST(trunc((ts - {START}) / {END - START} * 100) AS BIGINT) AS bucket FROM c JOIN ed ON c.pid = ed.pid AND c.name = ed.name WHERE (c.ts <= {END} AND (c.ts >= {START} OR coalesce((c.ts, c.value) = ed.f, FALSE))) OR coalesce((c.ts, c.value) = ed.p, FALSE)) SELECT pid, name, past_end, bucket, min(ts) AS first_ts, min(value) AS min_value, max(value) AS max_value, arg_max(value, (ts, value)) AS last_value, count(*) AS points FROM x GROUP BY pid, name, past_end, bucket",
+        "d2_timeline_lod": f"""{s}, v AS (SELECT *, (ts - {START}) * {2000 / (END - START)!r} AS x0, (end_ts - {START}) * {2000 / (END - START)!r} AS x1 FROM s WHERE ts <= {END} AND end_ts >= {START}),
+sm AS (SELECT pid, tid, depth, seq, event_id, x0, greatest(x1, x0 + 1) AS x1 FROM v WHERE x1 - x0 < 2),
+nw AS (SELECT *, CASE WHEN x0 > max(x1) OVER (PARTITION BY pid, tid, depth ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 1 ELSE 0 END AS fresh FROM sm),
+rn AS (SELECT *, sum(fresh) OVER (PARTITION BY pid, tid, depth ORDER BY seq) AS run FROM nw)
+SELECT pid, tid, depth, 'slice' AS kind, round(x0, 4) AS x0, round(x1, 4) AS x1, 1 AS n, event_id FROM v WHERE x1 - x0 >= 2
+UNION ALL SELECT pid, tid, depth, 'run', round(min(x0), 4), round(max(x1), 4), count(*), arg_min(event_id, seq) FROM rn GROUP BY pid, tid, depth, run""",
         "s9_arg_counters": f"{e} SELECT pid, name, count(*) AS n, sum(CAST(json_extract_string(args, '$.k') AS DOUBLE)) AS total FROM e WHERE json_extract_string(args, '$.k') IS NOT NULL GROUP BY pid, name",
         "s13_csv": """SELECT event_id || ',' || event_type || ',' || CASE WHEN regexp_matches(props, '[,"]') THEN '"' || replace(props, '"', '""') || '"' ELSE props END AS value FROM events""",
         "s14_trace_json": f"{e} SELECT name, ts, dur, pid, tid, CAST(json_extract_string(args, '$.k') AS DOUBLE) AS k FROM e",
