@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.operators.joins import with_names
@@ -42,3 +42,10 @@ def overview(trace: Trace) -> DataFrame:
     one = lambda df, name: df.agg(F.count("*").alias(name))
     series = trace.counters.agg(F.count_distinct("pid", "name").alias("series"), F.count("*").alias("points"))
     return facts.join(one(trace.processes, "processes")).join(one(trace.threads, "threads")).join(series)  # one row each
+
+
+def thread_order(processes: DataFrame, threads: DataFrame) -> DataFrame:
+    """(pid, process_index, tid, place): threads with their place in their process, by sort_index and then tid."""
+    place = F.row_number().over(Window.partitionBy("pid").orderBy("sort_index", "tid"))
+    ranked = threads.select("pid", "tid", place.alias("place"))
+    return processes.select("pid", F.col("sort_index").alias("process_index")).join(ranked, "pid").select("pid", "process_index", "tid", "place")

@@ -62,3 +62,9 @@ def instances(spans: DataFrame, name: str, sort_by: str = "dur") -> DataFrame:
     order = Window.partitionBy("name").orderBy("ts", "event_id")
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("prev", F.lag("event_id").over(order)).withColumn("next", F.lead("event_id").over(order))
     return rows.orderBy(F.desc("dur") if sort_by == "dur" else F.asc("ts"), "event_id")
+
+
+def first_instances(events: DataFrame) -> DataFrame:
+    """(name, event_id, ts): the earliest timed event of each name, the first in file order of equals."""
+    timed = events.where("dur > 0 AND phase <> 'C'")
+    return timed.groupBy("name").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.min("ts").alias("ts"))

@@ -112,4 +112,10 @@ UNION ALL SELECT pid, tid, depth, 'run', round(min(x0), 4), round(max(x1), 4), c
         "x2_source": f"{e} SELECT event_id, '/mnt/code/' || 'f' || tid || '.py' AS source_file, CAST(pid AS INTEGER) AS source_line FROM e",
         "x3_remap_urls": "SELECT page_id, '/mirror/' || CASE WHEN starts_with(lower(url), 'https:') THEN ltrim(substr(url, 7), '/') ELSE ltrim(url, '/') END AS path FROM pages",
         "x4_args": f"{e} SELECT event_id, 'k' AS key, json_extract_string(args, '$.k') AS value FROM e WHERE json_extract_string(args, '$.k') IS NOT NULL",
+        "s1_read_trace": f"{e} SELECT name, category, phase, ts, dur, pid, tid, CAST(json_extract_string(args, '$.k') AS DOUBLE) AS k FROM e",
+        "b10_thread_order": f"{e} SELECT pid, 0 AS process_index, tid, row_number() OVER (PARTITION BY pid ORDER BY tid) AS place FROM (SELECT DISTINCT pid, tid FROM e)",
+        "j2_names": f"{e} SELECT event_id, 'Process ' || pid AS process_name, 'Thread ' || tid AS thread_name FROM e",
+        "p7_children_filtered": f"{s}, u AS ({under}) SELECT event_id, name, round(dur * 100 / p_dur, 6) AS pct FROM u WHERE contains(lower(name), 'ic')",
+        "q3_builder_sql": f"{e} SELECT name, count(event_id) AS n, min(dur) AS least FROM e WHERE dur >= 1000 AND category IN ('small', 'large') GROUP BY name HAVING count(event_id) > 5 ORDER BY n DESC, name LIMIT 50",
+        "w6_first_instances": f"{e} SELECT name, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM e WHERE dur > 0 GROUP BY name",
     }

@@ -5,14 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below spark.checkpoint.dir and read it back, which cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir; in local mode, where it is unset, below a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         app = spark.sparkContext.applicationId
@@ -21,6 +20,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             _own[app] = tempfile.mkdtemp(prefix="spanframe-")
         root = _own[app]
-    path = f"{root.rstrip('/')}/spanframe/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/spanframe/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below spark.checkpoint.dir and read it back, which cuts lineage and outlives lost executors."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

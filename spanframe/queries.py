@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spanframe.functions import columns
 from spanframe.operators import counters, filters, flame, joins, lod, overview, ranges, tree
 from spanframe.plans import spans as plan
-from spanframe.plans import sqlapi
+from spanframe.plans import scratch, sqlapi
 from spanframe.sources import adapter, sinks, trace_json
 
 #: The view that range queries take: five days of the trace, in microseconds from its epoch.
@@ -97,12 +97,14 @@ def a13_overview(spark, d):
     return overview.overview(_trace(spark, d))
 
 
+BUILT = sqlapi.QuerySpec(
+    "events", select=["name", "category", ("COUNT", "event_id", "n"), ("SUM", "dur", "total"), ("MAX", "ts", "last_ts")],
+    where=[("dur", ">", 1000), ("name", "LIKE", "%I%", "AND"), ("category", "IN", ["small"], "OR")], group_by=["name", "category"], having=[("n", ">", 5)], order_by=[("total", False)], limit=20,
+)
+
+
 def a14_builder(spark, d):
-    spec = sqlapi.QuerySpec(
-        "events", select=["name", "category", ("COUNT", "event_id", "n"), ("SUM", "dur", "total"), ("MAX", "ts", "last_ts")],
-        where=[("dur", ">", 1000), ("name", "LIKE", "%I%", "AND"), ("category", "IN", ["small"], "OR")], group_by=["name", "category"], having=[("n", ">", 5)], order_by=[("total", False)], limit=20,
-    )
-    return spec.to_df({"events": _events(spark, d)})
+    return BUILT.to_df({"events": _events(spark, d)})
 
 
 def a15_row_counts(spark, d):
@@ -266,12 +268,44 @@ def x4_args(spark, d):
     return columns.explode_args(_events(spark, d))
 
 
+def s1_read_trace(spark, d):
+    path = scratch.new_path(spark, "trace")
+    sinks.write_trace(_events(spark, d), path)
+    events = trace_json.read_trace(spark, path).events
+    return events.select("name", "category", "phase", "ts", "dur", "pid", "tid", F.get_json_object("args", "$.k").cast("double").alias("k"))
+
+
+def b10_thread_order(spark, d):
+    t = _trace(spark, d)
+    return overview.thread_order(t.processes, t.threads)
+
+
+def j2_names(spark, d):
+    t = _trace(spark, d)
+    return joins.with_names(t.events, t.processes, t.threads).select("event_id", "process_name", "thread_name")
+
+
+def p7_children_filtered(spark, d):
+    return tree.children(_spans(spark, d), EVENT, descendants=True, text="IC").select("event_id", "name", F.round("pct", 6).alias("pct"))
+
+
+def q3_builder_sql(spark, d):
+    t = _trace(spark, d)
+    sqlapi.register(t)
+    spec = sqlapi.QuerySpec("events", select=["name", ("COUNT", "event_id", "n"), ("MIN", "dur", "least")], where=[("dur", ">=", 1000), ("category", "IN", ["small", "large"], "AND")], group_by=["name"], having=[("n", ">", 5)], order_by=[("n", False), ("name", True)])
+    return sqlapi.run_sql(spark, spec.to_sql()).rows
+
+
+def w6_first_instances(spark, d):
+    return tree.first_instances(_events(spark, d))
+
+
 REGISTERED = [
     hot_functions, a2_longest, a3_events_per_thread, a4_categories, a5_counters, a6_range_stats, a7_children_by_name, a8_search_stats, a9_flame, a9_flame_hidden, a10_flame_zoom,
     a11_call_rates, a12_runs, a13_overview, a14_builder, a15_row_counts, b1_thread_order, b2_pairs, b4_dedup, b5_spans, b6_max_depth, b8_call_stack, b11_bounds, b12_categories,
     b13_name_index, b14_counter_bounds, p1_visible, p3_thread_counts, p4_search, p6_overlapping, j3_counter_asof, j4_flow_edges, j6_span_at, j7_children, j8_range_stats_many,
     w1_unique, w2_longest_instance, w3_navigation, w5_instances, q1_sql, d1_counter_buckets, d2_timeline_lod, s9_arg_counters, s13_csv, s14_trace_json, x1_format_time, x2_source,
-    x3_remap_urls, x4_args,
+    x3_remap_urls, x4_args, s1_read_trace, b10_thread_order, j2_names, p7_children_filtered, q3_builder_sql, w6_first_instances,
 ]
 
 
