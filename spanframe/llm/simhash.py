@@ -163,12 +163,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each class of near duplicates the row with the smallest id.
 
-    A row that repeats another's id stays once; rows without an id can't be told apart and all stay. All columns stay.
+    Near duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more (jaccard.classes),
+    not those of op7. A row that repeats another's id stays once; rows without an id can't be told apart and all stay.
+    All columns stay.
     """
-    classes = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    key, rank = fresh_name(docs, "_kept"), fresh_name(docs, "_rank")
-    stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     from pyspark.sql import Window
 
+    from spanframe.llm import jaccard
+
+    classes = jaccard.classes(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
+    key, rank = fresh_name(docs, "_kept"), fresh_name(docs, "_rank")
+    stay = classes.groupBy("class").agg(F.min("id").alias(key)).select(key).distinct()
     ranked = docs.join(stay, docs[id_col] == stay[key]).withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))))
     return ranked.where(F.col(rank) == 1).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
