@@ -177,6 +177,13 @@ def j3_counter_asof(spark, d):
     return joins.counter_asof(t.counters, probes).select("event_id", "point_ts", "value")
 
 
+def j3_counter_asof_all(spark, d):
+    """j3_counter_asof for every event."""
+    t = _trace(spark, d)
+    probes = t.events.select("event_id", "pid", "name", (F.col("ts") + 1800000000.0).alias("t"))
+    return joins.counter_asof(t.counters, probes).select("event_id", "point_ts", "value")
+
+
 def j4_flow_edges(spark, d):
     edges = joins.flow_edges(_spans(spark, d), START, END, hide_tids=[3])
     return edges.select("flow_id", "src_event", "dst_event_id", "latency").withColumn("flow_id", F.col("flow_id").cast("long"))
@@ -188,6 +195,13 @@ def j6_span_at(spark, d):
     return joins.span_at(s, probes, 1000.0)
 
 
+def j6_span_at_all(spark, d):
+    """j6_span_at for every span of a thread."""
+    s = _spans(spark, d)
+    probes = s.where("in_thread").select("pid", "tid", "depth", (F.col("ts") + 60_000_000).alias("t")).distinct()
+    return joins.span_at(s, probes, 1000.0)
+
+
 def j7_children(spark, d):
     s = _spans(spark, d)
     top = s.where("parent_id IS NOT NULL").select("parent_id", "event_id", "dur", "end_ts")
@@ -306,6 +320,7 @@ REGISTERED = [
     b13_name_index, b14_counter_bounds, p1_visible, p3_thread_counts, p4_search, p6_overlapping, j3_counter_asof, j4_flow_edges, j6_span_at, j7_children, j8_range_stats_many,
     w1_unique, w2_longest_instance, w3_navigation, w5_instances, q1_sql, d1_counter_buckets, d2_timeline_lod, s9_arg_counters, s13_csv, s14_trace_json, x1_format_time, x2_source,
     x3_remap_urls, x4_args, s1_read_trace, b10_thread_order, j2_names, p7_children_filtered, q3_builder_sql, w6_first_instances,
+    j3_counter_asof_all, j6_span_at_all,
 ]
 
 
