@@ -48,6 +48,11 @@ def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
         starts = (ends - lengths)[:n].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())], dtype="<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit number that has a bit set where over half of ``hashes`` have it."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):  # the bits of a long text are not held all at once
         block = hashes[at : at + 8192].view(np.uint8).reshape(-1, 8)
@@ -163,8 +168,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each class of near duplicates the row with the smallest id.
 
-    Near duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more (jaccard.classes),
-    not those of op7. A row that repeats another's id stays once; rows without an id can't be told apart and all stay.
+    Near duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: candidates come
+    from fingerprints of these shingles by multi-index hashing and are completed to all such texts (jaccard.classes). A
+    row that repeats another's id stays once; rows without an id can't be told apart and all stay.
     All columns stay.
     """
     from pyspark.sql import Window
