@@ -95,11 +95,10 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     table = saved(fps.select("fp", _segments().alias("s")).select("fp", "s.*"), "simhash-table")
     crowds = saved(table.groupBy("seg", "val").count().where(F.col("count") > crowded).select("seg", "val"), "simhash-crowds")
     key = ["seg", "val"]
-    around = lambda r: F.explode(_ball(F.col("val"), r))
-    near = table.select("fp", "seg", "other", around(1).alias("val"))
-    probes = table.select("fp", "seg", "val").unionByName(near.select("fp", "seg", "val"))
     some = bool(crowds.take(1))
     calm = table.join(crowds, key, "left_anti") if some else table
+    near = calm.select("fp", "seg", F.explode(_ball(F.col("val"), 1)).alias("val"))
+    probes = calm.select("fp", "seg", "val").unionByName(near)  # what a crowd's members have beside it meets them below
     found = (
         probes.withColumnRenamed("fp", "a")
         .join(calm.select("seg", "val", F.col("fp").alias("b")), key)
@@ -109,7 +108,8 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     if not some:
         return found.distinct()
     within = table.join(crowds, key, "left_semi")
-    beside = near.join(crowds, key, "left_semi")
+    rims = crowds.select("seg", F.col("val").alias("crowd"), F.explode(_ball(F.col("val"), 1)).alias("val"))
+    beside = table.join(rims, key).select("fp", "seg", "other", F.col("crowd").alias("val"))
     point = lambda df, mode, centre, r: df.select(
         F.lit(mode).cast("tinyint").alias("mode"), "seg", "val", F.explode(_ball(F.col("other"), r)).alias("point"), "fp", F.lit(centre).alias("centre")
     )
