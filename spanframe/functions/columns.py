@@ -50,5 +50,22 @@ def with_source(spans: DataFrame, strip: str = "", base: str = "") -> DataFrame:
 
 
 def explode_args(spans: DataFrame) -> DataFrame:
-    """(event_id, key, value): the top level of each event's args; nested values stay JSON."""
-    return spans.select("event_id", F.explode(F.from_json("args", "map<string,string>")).alias("key", "value"))
+    """(event_id, key, value): a row for each scalar in an event's args, however nested; key: its path, as ``a.b[0].c``.
+
+    Values are texts; a null has a null value, and an empty object or array a row of its own, {} or []. Args that aren't a
+    JSON object have no rows.
+    """
+    nested = spans.select("event_id", F.explode(F.from_json("args", "map<string,variant>")).alias("key", "value"))
+    out = None
+    while True:
+        kind = F.schema_of_variant("value")
+        deep = F.coalesce((kind.startswith("OBJECT") | kind.startswith("ARRAY")) & ~F.to_json("value").isin("{}", "[]"), F.lit(False))
+        text = F.when(F.to_json("value").isin("{}", "[]"), F.to_json("value")).otherwise(F.try_variant_get("value", "$", "string"))
+        done = nested.where(~deep).select("event_id", "key", text.alias("value"))
+        out = done if out is None else out.unionByName(done)
+        nested = nested.where(deep)
+        if not nested.take(1):
+            return out
+        items = F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda v, i: F.struct(F.concat("key", F.lit("["), i.cast("string"), F.lit("]")).alias("key"), v.alias("value")))
+        pairs = F.transform(F.map_entries(F.try_variant_get("value", "$", "map<string,variant>")), lambda p: F.struct(F.concat_ws(".", "key", p["key"]).alias("key"), p["value"].alias("value")))
+        nested = nested.select("event_id", F.inline(F.when(kind.startswith("ARRAY"), items).otherwise(pairs)))

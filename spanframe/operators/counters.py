@@ -22,8 +22,13 @@ def counter_buckets(counters: DataFrame, start: float, end: float, buckets: int)
     )
 
 
-def call_rates(events: DataFrame, min_rate: float = 200.0) -> DataFrame:
-    """Names called at least ``min_rate`` times a second over the trace; no rate where the trace has no length."""
+def call_rates(events: DataFrame, min_rate: float = 200.0, metadata: DataFrame | None = None) -> DataFrame:
+    """Names called at least ``min_rate`` times a second over the trace; no rate where the trace has no length.
+
+    metadata: the trace's metadata events (Trace.metadata), whose names and times count as well.
+    """
+    if metadata is not None:
+        events = events.select("name", "ts").unionByName(metadata.select("name", "ts"))
     span = events.where("ts <> 0").agg((F.max("ts") - F.min("ts")).alias("_length"))
     counts = events.where("name <> ''").groupBy("name").agg(F.count("*").alias("n"))
     rated = counts.join(F.broadcast(span)).withColumn("rate", F.try_divide(F.col("n") * 1e6, F.col("_length")))  # span is one row

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,11 @@ def visible(df: DataFrame, hide_pids=(), hide_tids=(), hide_categories=()) -> Da
     return df
 
 
+def visible_categories(df: DataFrame, show: bool) -> DataFrame:
+    """All categories shown, or none: hiding all hides every category that there is, the empty one too."""
+    return df if show else df.where(F.col("category").isNull())
+
+
 def thread_counts(spans: DataFrame, threads: DataFrame) -> DataFrame:
     counts = spans.where("in_thread").groupBy("pid", "tid").agg(F.count("*").alias("events"))
     return threads.join(counts, ["pid", "tid"], "left").select("pid", "tid", F.coalesce("events", F.lit(0)).alias("events"))
@@ -36,7 +41,8 @@ def name_stats(df: DataFrame) -> DataFrame:
 
 
 def first_per_name(df: DataFrame) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("event_id"))).where("_n = 1").drop("_n")
+    """The first event of each name; a name's rows are reduced before the shuffle."""
+    return df.groupBy("name").agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), "event_id").alias("_first")).select("_first.*")
 
 
 def search(events: DataFrame, text: str, unique: bool = False, sort_by: str = "ts", ascending: bool = True) -> DataFrame:

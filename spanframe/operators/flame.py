@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from spanframe.operators.filters import visible
 
 KEY = ["pid", "tid", "path"]
-#: Between a name and its category, and between the steps of a path.
+#: Between a name and its category, and between the steps of a path, in path, which is for reading; keys tells paths apart.
 OF, STEP = "|", " > "
 
 
 def flame(spans: DataFrame, start: float, end: float, hide_pids=(), hide_tids=(), hide_categories=()) -> DataFrame:
-    """(pid, tid, path, level, calls, total, self_total) of the paths in [start, end].
+    """(pid, tid, keys, path, level, calls, total, self_total) of the paths in [start, end].
+
+    keys: the path's steps as structs of name and category; path: the same as text, which may be alike for several keys.
 
     Ancestors of hidden categories are skipped, not cut. A path without calls of its own has the sum of its children as
     total: what its nearest called descendants have, so one grouping by prefixes takes the place of a walk up the tree.
@@ -23,8 +25,7 @@ def flame(spans: DataFrame, start: float, end: float, hide_pids=(), hide_tids=()
     part = F.least("end_ts", F.lit(end)) - F.greatest("ts", F.lit(start))
     rows = shown.where("in_thread AND phase IN ('X', 'B') AND dur > 0").where((F.col("ts") <= end) & (F.col("end_ts") >= start)).withColumn("part", part).where("part > 0")
     above = F.filter("path", lambda p: ~p["category"].isin(*hide_categories)) if hide_categories else F.col("path")
-    step = lambda p: F.concat(p["name"], F.lit(OF), p["category"])
-    keys = F.concat(F.transform(above, step), F.array(F.concat("name", F.lit(OF), "category")))
+    keys = F.concat(F.transform(above, lambda p: F.struct(p["name"].alias("name"), p["category"].alias("category"))), F.array(F.struct("name", "category")))
     own = rows.select("pid", "tid", keys.alias("keys"), "part").groupBy("pid", "tid", "keys").agg(F.count("*").alias("calls"), F.sum("part").alias("own"))
     prefixes = own.select("pid", "tid", "keys", "own", F.explode(F.sequence(F.lit(1), F.size("keys"))).alias("level"))
     prefixes = prefixes.withColumn("prefix", F.slice("keys", F.lit(1), F.col("level")))
@@ -38,13 +39,22 @@ def flame(spans: DataFrame, start: float, end: float, hide_pids=(), hide_tids=()
     nodes = nodes.select("pid", "tid", "prefix", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("prefix_own", "below", F.lit(0.0)).alias("total"))
     kids = nodes.where(F.size("prefix") > 1).groupBy("pid", "tid", F.slice("prefix", F.lit(1), F.size("prefix") - 1).alias("prefix")).agg(F.sum("total").alias("kids"))
     out = nodes.join(kids, ["pid", "tid", "prefix"], "left")
+    told = F.array_join(F.transform("prefix", lambda p: F.concat(p["name"], F.lit(OF), p["category"])), STEP)
     return out.where("total > 0").select(
-        "pid", "tid", F.array_join("prefix", STEP).alias("path"), F.size("prefix").alias("level"), "calls", "total", F.greatest(F.lit(0.0), F.col("total") - F.coalesce("kids", F.lit(0.0))).alias("self_total")
+        "pid", "tid", F.col("prefix").alias("keys"), told.alias("path"), F.size("prefix").alias("level"), "calls", "total", F.greatest(F.lit(0.0), F.col("total") - F.coalesce("kids", F.lit(0.0))).alias("self_total")
     )
 
 
-def flame_zoom(nodes: DataFrame, pid: int, tid: int, path: str) -> DataFrame:
-    """The nodes at and under a path, with their share of its total and their average."""
-    under = nodes.where((F.col("pid") == pid) & (F.col("tid") == tid) & ((F.col("path") == path) | F.col("path").startswith(path + STEP)))
-    root = under.where(F.col("path") == path).select(F.col("total").alias("_root"))
-    return under.join(F.broadcast(root)).withColumn("share", F.try_divide("total", "_root")).withColumn("avg", F.try_divide("total", "calls")).drop("_root")
+def flame_zoom(nodes: DataFrame, pid: int, tid: int, path: str | list[tuple[str, str]]) -> DataFrame:
+    """The nodes at and under a path, with their share of its total and their average.
+
+    path: (name, category) of each step; or the path's text, which takes all keys of that text together.
+    """
+    thread = nodes.where((F.col("pid") == pid) & (F.col("tid") == tid))
+    if isinstance(path, str):
+        at, under = F.col("path") == path, (F.col("path") == path) | F.col("path").startswith(path + STEP)
+    else:
+        keys = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("category")) for n, c in path])
+        at, under = F.col("keys") == keys, F.slice("keys", 1, len(path)) == keys
+    root = thread.where(at).agg(F.sum("total").alias("_root"))  # one row
+    return thread.where(under).join(F.broadcast(root)).withColumn("share", F.try_divide("total", "_root")).withColumn("avg", F.try_divide("total", "calls")).drop("_root")

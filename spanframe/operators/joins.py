@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Processes and threads are sent to all executors up to so many rows; beyond, they are joined by a shuffle.
+FEW_ROWS = 100_000
+#: Flow events that meet in one window: a flow's events are cut by so many event ids.
+FLOW_CHUNK = 1 << 20
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
 
 def with_names(df: DataFrame, processes: DataFrame, threads: DataFrame) -> DataFrame:
-    out = df.join(processes.select("pid", F.col("name").alias("process_name")), "pid", "left")
-    return out.join(threads.select("pid", "tid", F.col("name").alias("thread_name")), ["pid", "tid"], "left")
+    out = df.join(_small(processes.select("pid", F.col("name").alias("process_name"))), "pid", "left")
+    return out.join(_small(threads.select("pid", "tid", F.col("name").alias("thread_name"))), ["pid", "tid"], "left")
 
 
 def counter_asof(counters: DataFrame, probes: DataFrame) -> DataFrame:
@@ -25,13 +34,20 @@ def counter_asof(counters: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def flow_edges(spans: DataFrame, start: float | None = None, end: float | None = None, hide_pids=(), hide_tids=()) -> DataFrame:
-    """An edge between consecutive events of a flow id in file order, without those outside a view or at a hidden end."""
-    order = Window.partitionBy("id").orderBy("event_id")
-    ahead = lambda c: F.lead(c).over(order).alias(f"dst_{c}")
-    edges = spans.select(
-        F.col("id").alias("flow_id"), F.col("event_id").alias("src_event"), F.col("pid").alias("src_pid"), F.col("tid").alias("src_tid"), F.col("ts").alias("src_ts"), F.col("end_ts").alias("src_end"),
-        ahead("event_id"), ahead("pid"), ahead("tid"), ahead("ts"), ahead("end_ts"),
-    ).where("dst_event_id IS NOT NULL")
+    """An edge between consecutive flow events (phases s, t and f) of an id in file order, without those outside a view or at a hidden end.
+
+    Flow events without an id share the id 0, which may hold very many: windows are cut by event id, and the first event
+    of the next piece follows the last of a piece.
+    """
+    end_ts = F.col("end_ts") if "end_ts" in spans.columns else F.col("ts") + F.col("dur")
+    flows = spans.where("phase IN ('s', 't', 'f')").select("id", F.floor(F.col("event_id") / FLOW_CHUNK).alias("_piece"), F.struct("event_id", "pid", "tid", "ts", end_ts.alias("end_ts")).alias("e"))
+    firsts = flows.groupBy("id", "_piece").agg(F.min("e").alias("first"))
+    follows = firsts.select("id", "_piece", F.lead("first").over(Window.partitionBy("id").orderBy("_piece")).alias("follows"))  # a row for each piece
+    ahead = flows.withColumn("dst", F.lead("e").over(Window.partitionBy("id", "_piece").orderBy("e"))).join(follows, ["id", "_piece"])
+    side = lambda c, fields: [F.col(f"{c}.{f}").alias(f"{c}_{a}") for f, a in fields]
+    edges = ahead.select(F.col("id").alias("flow_id"), F.col("e").alias("src"), F.coalesce("dst", "follows").alias("dst")).where("dst IS NOT NULL").select(
+        "flow_id", *side("src", (("event_id", "event"), ("pid", "pid"), ("tid", "tid"), ("ts", "ts"), ("end_ts", "end"))), *side("dst", ((x, x) for x in ("event_id", "pid", "tid", "ts", "end_ts")))
+    )
     if start is not None and end is not None:
         edges = edges.where(~((F.col("src_ts") > end) & (F.col("dst_ts") > end)) & ~((F.col("src_end") < start) & (F.col("dst_end_ts") < start)))
     for side in ("src", "dst"):
@@ -42,12 +58,15 @@ def flow_edges(spans: DataFrame, start: float | None = None, end: float | None =
     return edges.withColumn("latency", F.col("dst_ts") - F.col("src_end"))
 
 
-def span_at(spans: DataFrame, probes: DataFrame, tolerance: float = 0.0, hide_categories=(), cell: float = 1e10) -> DataFrame:
+def span_at(spans: DataFrame, probes: DataFrame, tolerance: float = 0.0, hide_categories=(), cell: float | None = None) -> DataFrame:
     """probes (pid, tid, depth, t) with event_id of the shortest span there, the first of equals; null for none.
 
-    Spans and probes meet by time cell, so a probe looks only at the spans that touch its cell.
+    Spans and probes meet by time cell, so a probe looks only at the spans that touch its cell. A cell is as long as the
+    mean span with its tolerance, unless given, so that spans touch two cells in the mean.
     """
     seen = spans.where("in_thread")
+    if cell is None:
+        cell = max((seen.agg(F.avg("dur")).first()[0] or 0.0) + 2 * tolerance, 1e-3)
     if hide_categories:
         seen = seen.where(~F.col("category").isin(*hide_categories))
     low, high = F.floor((F.col("ts") - tolerance) / cell), F.floor((F.col("end_ts") + tolerance) / cell)

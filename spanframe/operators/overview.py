@@ -37,7 +37,7 @@ def overview(trace: Trace) -> DataFrame:
     end = F.when(F.col("dur") > 0, F.col("ts") + F.col("dur")).otherwise(F.col("ts"))
     facts = e.agg(
         F.count("*").alias("events"), F.count_distinct("name").alias("names"), F.count_distinct("category").alias("categories"), F.count("args").alias("args"),
-        F.coalesce(F.sum(F.length("args")), F.lit(0)).alias("args_chars"), F.count_distinct("id").alias("flows"), (F.max(end) - F.min("ts")).alias("length"),
+        F.coalesce(F.sum(F.length("args")), F.lit(0)).alias("args_chars"), F.count_distinct(F.when(F.col("phase").isin("s", "t", "f"), F.col("id"))).alias("flows"), (F.max(end) - F.min("ts")).alias("length"),
     )
     one = lambda df, name: df.agg(F.count("*").alias(name))
     series = trace.counters.agg(F.count_distinct("pid", "name").alias("series"), F.count("*").alias("points"))

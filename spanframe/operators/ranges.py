@@ -23,10 +23,16 @@ def range_stats(spans: DataFrame, start: float, end: float) -> DataFrame:
     return _stats(_parts(spans, F.lit(start), F.lit(end)), [], F.lit(end - start))
 
 
-def range_stats_many(spans: DataFrame, ranges: DataFrame, cell: float = 1e11) -> DataFrame:
-    """range_stats of each of ranges (range_id, start, end). Spans and ranges meet by time cell, counted at the first shared."""
+def range_stats_many(spans: DataFrame, ranges: DataFrame, cell: float | None = None) -> DataFrame:
+    """range_stats of each of ranges (range_id, start, end). Spans and ranges meet by time cell, counted at the first shared.
+
+    A cell is as long as the mean range or the mean span, whichever is longer, unless given: in the mean each touches two.
+    """
     covers = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    timed = spans.where("in_thread AND dur > 0").withColumn("_cell", covers("ts", "end_ts"))
+    timed = spans.where("in_thread AND dur > 0")
+    if cell is None:
+        cell = max(timed.agg(F.avg("dur")).first()[0] or 0.0, ranges.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 0.0, 1e-3)
+    timed = timed.withColumn("_cell", covers("ts", "end_ts"))
     asked = ranges.select("range_id", F.col("start").alias("_start"), F.col("end").alias("_end")).withColumn("_cell", covers("_start", "_end"))
     met = timed.join(asked, "_cell").where(F.col("_cell") == F.floor(F.greatest("ts", "_start") / cell))
     rows = _parts(met, F.col("_start"), F.col("_end"))

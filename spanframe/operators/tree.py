@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanframe.plans.places import placed
+
+#: The columns by which children and children by name are sorted.
+CHILD_SORTS, NAME_SORTS = ("name", "dur", "pct"), ("name", "n", "total", "avg", "min", "max", "pct")
+
 
 def call_stack(spans: DataFrame, event_id: int) -> DataFrame:
     """(level, event_id, name) from the root to the event; empty for an id that isn't there."""
@@ -30,6 +35,14 @@ def children_by_name(spans: DataFrame, event_id: int, descendants: bool = False,
     )
 
 
+def sorted_children(rows: DataFrame, sort_by: str = "dur", ascending: bool = False) -> DataFrame:
+    """Rows of children or of children_by_name in the order of one of their columns; ties by event id or name."""
+    by_name = "event_id" not in rows.columns
+    if sort_by not in (NAME_SORTS if by_name else CHILD_SORTS):
+        raise ValueError(f"children aren't sorted by {sort_by}")
+    return rows.orderBy(F.asc(sort_by) if ascending else F.desc(sort_by), "name" if by_name else "event_id")
+
+
 def consolidate_runs(spans: DataFrame, event_id: int) -> DataFrame:
     """Descendants in thread order, neighbours of one name, depth and parent as one entry."""
     rows = children(spans, event_id, descendants=True)
@@ -59,8 +72,7 @@ def longest_instance(spans: DataFrame) -> DataFrame:
 def instances(spans: DataFrame, name: str, sort_by: str = "dur") -> DataFrame:
     """The timed events of a name with their place and neighbours in order of start; sorted by dur, longest first, or ts."""
     rows = spans.where((F.col("name") == name) & (F.col("dur") > 0) & (F.col("phase") != "C") & ~F.col("is_end"))
-    order = Window.partitionBy("name").orderBy("ts", "event_id")
-    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("prev", F.lag("event_id").over(order)).withColumn("next", F.lead("event_id").over(order))
+    rows = placed(rows, "name")
     return rows.orderBy(F.desc("dur") if sort_by == "dur" else F.asc("ts"), "event_id")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanframe.queries import END, EVENT, START
+from spanframe.queries import END, START
 
 EVENTS = """e AS MATERIALIZED (SELECT event_id, event_type AS name, CASE WHEN value < 10 THEN 'small' ELSE 'large' END AS category, 'X' AS phase,
   CAST(epoch_us(ts) - 1704067200000000 AS DOUBLE) AS ts, CAST(round(value * 100) * 3600000 AS DOUBLE) AS dur,
@@ -48,7 +48,10 @@ def oracle_sql() -> dict[str, str]:
     e, s = "WITH " + EVENTS, _spans()
     counters = "SELECT user_id % 4 AS pid, event_type AS name, CAST(epoch_us(ts) - 1704067200000000 AS DOUBLE) AS ts, value FROM events"
     part = f"least(end_ts, {END}) - greatest(ts, {START})"
-    under = f"SELECT d.*, p.dur AS p_dur FROM s d, s p WHERE p.event_id = {EVENT} AND list_contains(d.ids, {EVENT}) AND d.dur > 0 AND d.end_ts <= p.end_ts"
+    top = "(SELECT id FROM (SELECT unnest(ids) AS id FROM s) GROUP BY id ORDER BY count(*) DESC, id LIMIT 1)"
+    under = f"SELECT d.*, p.dur AS p_dur FROM s d, s p WHERE p.event_id = {top} AND list_contains(d.ids, p.event_id) AND d.dur > 0 AND d.end_ts <= p.end_ts"
+    flows = "fe AS (SELECT *, CASE event_id % 5 WHEN 0 THEN 's' WHEN 1 THEN 't' WHEN 2 THEN 'f' ELSE phase END AS ph FROM e)"
+    told = lambda n, unit, x: f"printf('%.{n}f {unit}', {x})"
     both = f"""{e}, be AS (SELECT event_id, 'B' AS phase, ts, pid, tid FROM e UNION ALL SELECT event_id + 1000000000, 'E', ts + dur, pid, tid FROM e),
 q AS (SELECT *, row_number() OVER (PARTITION BY pid, tid ORDER BY ts, event_id) AS seq FROM be),
 q1 AS (SELECT *, sum(CASE phase WHEN 'B' THEN 1 ELSE -1 END) OVER (PARTITION BY pid, tid ORDER BY seq) AS sm FROM q),
@@ -57,7 +60,7 @@ q3 AS (SELECT *, phase = 'E' AND sm < bef AS lone, CASE WHEN phase = 'E' AND sm
 q4 AS (SELECT *, lead(ts) OVER (PARTITION BY pid, tid, lv ORDER BY seq) AS nx, lead(phase) OVER (PARTITION BY pid, tid, lv ORDER BY seq) AS nk FROM q3)
 SELECT event_id, phase, ts, CASE WHEN phase = 'B' AND nk = 'E' THEN nx - ts ELSE 0.0 END AS dur FROM q4 WHERE phase = 'B' OR lone"""
     many = "SELECT i AS range_id, i * 86400000000.0 AS a, (i + 2) * 86400000000.0 AS b FROM (SELECT unnest(generate_series(1, 19)) AS i)"
-    return {
+    sql = {
         "hot_functions": f"{e} SELECT name, count(*) AS n, sum(dur) AS total_dur, round(avg(dur), 3) AS avg_dur FROM e WHERE dur > 0 GROUP BY name ORDER BY total_dur DESC, name LIMIT 50",
         "a2_longest": f"{e} SELECT event_id, name, ts, dur FROM e ORDER BY dur DESC, event_id LIMIT 20",
         "a3_events_per_thread": f"{e} SELECT pid, tid, 'Process ' || pid AS process_name, 'Thread ' || tid AS thread_name, count(*) AS n FROM e GROUP BY pid, tid",
@@ -71,7 +74,7 @@ SELECT event_id, phase, ts, CASE WHEN phase = 'B' AND nk = 'E' THEN nx - ts ELSE
         "a10_flame_zoom": f"{s}{_flame()}, root AS (SELECT * FROM nodes WHERE level = 1 ORDER BY total DESC, pid, tid, path LIMIT 1) SELECT n.pid, n.tid, n.path, n.total, round(n.total / root.total, 6) AS share, round(CASE WHEN n.calls > 0 THEN n.total / n.calls END, 3) AS avg FROM nodes n, root WHERE n.pid = root.pid AND n.tid = root.tid AND (n.path = root.path OR starts_with(n.path, root.path || ' > '))",
         "a11_call_rates": f"{e} SELECT name, count(*) AS n, round(count(*) * 1e6 / (SELECT max(ts) - min(ts) FROM e WHERE ts <> 0), 9) AS rate FROM e WHERE name <> '' GROUP BY name HAVING count(*) * 1e6 / (SELECT max(ts) - min(ts) FROM e WHERE ts <> 0) >= 0.0001",
         "a12_runs": f"{s}, u AS ({under}), v AS (SELECT *, CASE WHEN name = lag(name) OVER w AND depth = lag(depth) OVER w AND parent_id = lag(parent_id) OVER w THEN 0 ELSE 1 END AS fresh FROM u WINDOW w AS (PARTITION BY pid, tid ORDER BY seq)), x AS (SELECT *, sum(fresh) OVER (PARTITION BY pid, tid ORDER BY seq) AS run FROM v) SELECT arg_min(event_id, seq) AS first_event, any_value(name) AS name, any_value(depth) AS depth, count(*) AS n, sum(dur) AS total, sum(self_time) AS total_self, round(avg(dur), 3) AS avg, round(avg(self_time), 3) AS avg_self FROM x GROUP BY pid, tid, run",
-        "a13_overview": f"{e} SELECT count(*) AS events, count(DISTINCT name) AS names, count(DISTINCT category) AS categories, count(args) AS args, sum(length(args)) AS args_chars, count(DISTINCT id) AS flows, max(end_ts) - min(ts) AS length, count(DISTINCT pid) AS processes, count(DISTINCT (pid, tid)) AS threads, count(DISTINCT (pid, name)) AS series, count(*) AS points FROM e",
+        "a13_overview": f"{e} SELECT count(*) AS events, count(DISTINCT name) AS names, count(DISTINCT category) AS categories, count(args) AS args, sum(length(args)) AS args_chars, count(DISTINCT CASE WHEN event_id % 5 < 3 THEN id END) AS flows, max(end_ts) - min(ts) AS length, count(DISTINCT pid) AS processes, count(DISTINCT (pid, tid)) AS threads, count(DISTINCT (pid, name)) AS series, count(*) AS points FROM e",
         "a14_builder": f"{e} SELECT name, category, count(event_id) AS n, sum(dur) AS total, max(ts) AS last_ts FROM e WHERE dur > 1000 AND name ILIKE '%I%' OR category IN ('small') GROUP BY name, category HAVING count(event_id) > 5 ORDER BY total DESC LIMIT 20",
         "a15_row_counts": f"{e} SELECT 'events' AS view, count(*) AS n FROM e UNION ALL SELECT 'processes', count(DISTINCT pid) FROM e UNION ALL SELECT 'threads', count(DISTINCT (pid, tid)) FROM e UNION ALL SELECT 'counters', count(*) FROM e",
         "b1_thread_order": f"{e}, {ORDER} SELECT event_id, seq FROM o",
@@ -88,9 +91,9 @@ SELECT event_id, phase, ts, CASE WHEN phase = 'B' AND nk = 'E' THEN nx - ts ELSE
         "p3_thread_counts": f"{e}, {ORDER}, {DEDUP} SELECT pid, tid, count(*) AS events FROM kept GROUP BY pid, tid",
         "p4_search": f"{e}, f AS (SELECT * FROM e WHERE contains(lower(name), 'li') OR contains(lower(category), 'li')) SELECT event_id, name, count(*) OVER (PARTITION BY name) AS n, sum(dur) OVER (PARTITION BY name) AS total_dur FROM f",
         "p6_overlapping": f"{e}, {ORDER}, {DEDUP} SELECT event_id FROM kept WHERE ts <= {END} AND end_ts >= {START}",
-        "j3_counter_asof": f"{e}, c AS ({counters}), pr AS (SELECT event_id, pid, name, ts + 1800000000.0 AS t FROM e WHERE event_id % 3 = 0) SELECT pr.event_id, max(c.ts) AS point_ts, arg_max(c.value, (c.ts, c.value)) AS value FROM pr LEFT JOIN c ON c.pid = pr.pid AND c.name = pr.name AND c.ts <= pr.t GROUP BY pr.event_id",
-        "j4_flow_edges": f"{e}, f AS (SELECT id AS flow_id, event_id AS src_event, tid AS src_tid, ts AS src_ts, end_ts AS src_end, lead(event_id) OVER w AS dst_event_id, lead(tid) OVER w AS dst_tid, lead(ts) OVER w AS dst_ts, lead(end_ts) OVER w AS dst_end FROM e WINDOW w AS (PARTITION BY id ORDER BY event_id)) SELECT flow_id, src_event, dst_event_id, dst_ts - src_end AS latency FROM f WHERE dst_event_id IS NOT NULL AND NOT (src_ts > {END} AND dst_ts > {END}) AND NOT (src_end < {START} AND dst_end < {START}) AND src_tid <> 3 AND dst_tid <> 3",
-        "j6_span_at": f"{s}, pr AS (SELECT DISTINCT pid, tid, depth, ts + 60000000 AS t FROM s WHERE event_id % 5 = 0) SELECT pr.pid, pr.tid, pr.depth, pr.t, arg_min(s.event_id, (s.dur, s.seq)) AS event_id FROM pr LEFT JOIN s ON s.pid = pr.pid AND s.tid = pr.tid AND s.depth = pr.depth AND s.ts - 1000 <= pr.t AND pr.t <= s.end_ts + 1000 GROUP BY ALL",
+        "j3_counter_asof": f"{e}, c AS ({counters}), pr AS (SELECT event_id, pid, name, ts + 1800000000.0 AS t FROM e) SELECT pr.event_id, max(c.ts) AS point_ts, arg_max(c.value, (c.ts, c.value)) AS value FROM pr LEFT JOIN c ON c.pid = pr.pid AND c.name = pr.name AND c.ts <= pr.t GROUP BY pr.event_id",
+        "j4_flow_edges": f"{e}, {flows}, f AS (SELECT id AS flow_id, event_id AS src_event, tid AS src_tid, ts AS src_ts, end_ts AS src_end, lead(event_id) OVER w AS dst_event_id, lead(tid) OVER w AS dst_tid, lead(ts) OVER w AS dst_ts, lead(end_ts) OVER w AS dst_end FROM fe WHERE ph IN ('s', 't', 'f') WINDOW w AS (PARTITION BY id ORDER BY event_id)) SELECT flow_id, src_event, dst_event_id, dst_ts - src_end AS latency FROM f WHERE dst_event_id IS NOT NULL AND NOT (src_ts > {END} AND dst_ts > {END}) AND NOT (src_end < {START} AND dst_end < {START}) AND src_tid <> 3 AND dst_tid <> 3",
+        "j6_span_at": f"{s}, pr AS (SELECT DISTINCT pid, tid, depth, ts + 60000000 AS t FROM s) SELECT pr.pid, pr.tid, pr.depth, pr.t, arg_min(s.event_id, (s.dur, s.seq)) AS event_id FROM pr LEFT JOIN s ON s.pid = pr.pid AND s.tid = pr.tid AND s.depth = pr.depth AND s.ts - 1000 <= pr.t AND pr.t <= s.end_ts + 1000 GROUP BY ALL",
         "j7_children": f"{s} SELECT c.parent_id, c.event_id, CASE WHEN p.dur <> 0 THEN round(c.dur * 100 / p.dur, 6) END AS pct FROM s c JOIN s p ON c.parent_id = p.event_id WHERE c.dur > 0 AND c.end_ts <= p.end_ts",
         "j8_range_stats_many": f"{e}, {ORDER}, {DEDUP}, rg AS ({many}), x AS (SELECT range_id, k.*, least(end_ts, b) - greatest(ts, a) AS part FROM kept k JOIN rg ON k.ts <= b AND k.end_ts >= a WHERE dur > 0) SELECT range_id, name, count(*) AS n, sum(part) AS total, min(part) AS min_part, max(part) AS max_part, arg_max(event_id, (dur, -pid, -tid, -seq)) AS longest FROM x WHERE part > 0 GROUP BY range_id, name",
         "w1_unique": f"{e} SELECT min(event_id) AS event_id, name FROM e GROUP BY name",
@@ -108,7 +111,7 @@ UNION ALL SELECT pid, tid, depth, 'run', round(min(x0), 4), round(max(x1), 4), c
         "s9_arg_counters": f"{e} SELECT pid, name, count(*) AS n, sum(CAST(json_extract_string(args, '$.k') AS DOUBLE)) AS total FROM e WHERE json_extract_string(args, '$.k') IS NOT NULL GROUP BY pid, name",
         "s13_csv": """SELECT event_id || ',' || event_type || ',' || CASE WHEN regexp_matches(props, '[,"]') THEN '"' || replace(props, '"', '""') || '"' ELSE props END AS value FROM events""",
         "s14_trace_json": f"{e} SELECT name, ts, dur, pid, tid, CAST(json_extract_string(args, '$.k') AS DOUBLE) AS k FROM e",
-        "x1_format_time": f"{e} SELECT event_id, CASE WHEN us < 1 THEN 'ns' WHEN us < 1000 THEN 'us' WHEN us < 1000000 THEN 'ms' ELSE 's' END AS unit FROM (SELECT event_id, dur / pow(10.0, event_id % 12) AS us FROM e)",
+        "x1_format_time": f"{e} SELECT event_id, CASE WHEN us < 1 THEN {told(1, 'ns', 'us * 1000')} WHEN us < 1000 THEN {told(3, 'us', 'us')} WHEN us < 1000000 THEN {told(3, 'ms', 'us / 1000')} ELSE {told(3, 's', 'us / 1000000')} END AS told FROM (SELECT event_id, floor(dur / pow(10.0, event_id % 12)) + 0.25 AS us FROM e)",
         "x2_source": f"{e} SELECT event_id, '/mnt/code/' || 'f' || tid || '.py' AS source_file, CAST(pid AS INTEGER) AS source_line FROM e",
         "x3_remap_urls": "SELECT page_id, '/mirror/' || CASE WHEN starts_with(lower(url), 'https:') THEN ltrim(substr(url, 7), '/') ELSE ltrim(url, '/') END AS path FROM pages",
         "x4_args": f"{e} SELECT event_id, 'k' AS key, json_extract_string(args, '$.k') AS value FROM e WHERE json_extract_string(args, '$.k') IS NOT NULL",
@@ -117,5 +120,19 @@ UNION ALL SELECT pid, tid, depth, 'run', round(min(x0), 4), round(max(x1), 4), c
         "j2_names": f"{e} SELECT event_id, 'Process ' || pid AS process_name, 'Thread ' || tid AS thread_name FROM e",
         "p7_children_filtered": f"{s}, u AS ({under}) SELECT event_id, name, round(dur * 100 / p_dur, 6) AS pct FROM u WHERE contains(lower(name), 'ic')",
         "q3_builder_sql": f"{e} SELECT name, count(event_id) AS n, min(dur) AS least FROM e WHERE dur >= 1000 AND category IN ('small', 'large') GROUP BY name HAVING count(event_id) > 5 ORDER BY n DESC, name LIMIT 50",
+        "j4_flow_one_id": f"{e}, {flows}, f AS (SELECT event_id AS src_event, lead(event_id) OVER w AS dst_event_id, lead(ts) OVER w - end_ts AS latency FROM fe WHERE ph IN ('s', 't', 'f') WINDOW w AS (ORDER BY event_id)) SELECT * FROM f WHERE dst_event_id IS NOT NULL",
+        "x4_nested_args": f"{e} SELECT event_id, 'a.t' AS key, CAST(tid AS VARCHAR) AS value FROM e UNION ALL SELECT event_id, 'a.texts[0]', name FROM e UNION ALL SELECT event_id, 'a.texts[1]', category FROM e UNION ALL SELECT event_id, 'b[0].p', CAST(pid AS VARCHAR) FROM e",
+        "s2_read_array": f"{e} SELECT name, category, ts / 1000 AS ts, dur / 1000 AS dur, pid, tid, tid AS id FROM e",
+        "s8_metadata": f"{e} SELECT DISTINCT pid, tid, 'proc ' || pid AS process_name, 'of ' || tid AS thread_name FROM e",
+        "s10_ordinals": f"{e} SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, event_id FROM e",
+        "s13_tsv": "SELECT event_id || chr(9) || event_type || chr(9) || props AS value FROM events",
+        "l2_row_cap": f"{e} SELECT event_id, name, (SELECT count(*) FROM e) > 100 AS truncated FROM e ORDER BY event_id LIMIT 100",
+        "l3_search_sort": f"{e} SELECT event_id, name, dur, row_number() OVER (ORDER BY dur DESC, event_id) AS place FROM e WHERE contains(lower(name), 'li') OR contains(lower(category), 'li') QUALIFY place <= 50",
+        "l4_instance_sort": f"{e} SELECT event_id, dur, row_number() OVER (ORDER BY ts, event_id) AS n, row_number() OVER (ORDER BY dur DESC, event_id) AS place FROM e WHERE name = 'click' AND dur > 0 QUALIFY place <= 50",
+        "l5_children_sort": f"{s}, u AS ({under}) SELECT event_id, dur, row_number() OVER (ORDER BY dur * 100 / p_dur DESC, event_id) AS place FROM u QUALIFY place <= 50",
+        "p2_categories": f"{e} SELECT TRUE AS show, count(*) AS n FROM e UNION ALL SELECT FALSE, 0",
+        "a11_metadata": f"{e}, m AS (SELECT name FROM e UNION ALL SELECT 'thread_name' FROM e) SELECT name, count(*) AS n, round(count(*) * 1e6 / (SELECT max(ts) - min(ts) FROM e WHERE ts <> 0), 9) AS rate FROM m WHERE name <> '' GROUP BY name HAVING count(*) * 1e6 / (SELECT max(ts) - min(ts) FROM e WHERE ts <> 0) >= 0.0001",
+        "j7_descendants": f"{s}, u AS ({under}) SELECT event_id, round(dur * 100 / p_dur, 6) AS pct FROM u",
         "w6_first_instances": f"{e} SELECT name, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM e WHERE dur > 0 GROUP BY name",
     }
+    return sql | {f"{name}_all": sql[name] for name in ("j3_counter_asof", "j6_span_at")}

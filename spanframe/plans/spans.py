@@ -1,17 +1,21 @@
-"""Span construction: begin/end pairing, dedup, depth, parent, call path and self time, by windows and one join.
+"""Span construction: begin/end pairing, dedup, depth, parent, call path and self time, by windows, one pass and one join.
 
-The reference semantics are those of a stack over a thread's events in order of start: a span's parent is the innermost
-earlier span that hasn't ended by its start, contained or not. The bottom entry of a stack stays until the greatest end
-so far passes, which a running maximum tells; so roots are found by one window, and what lies under a root goes to the
-next round in a partition of its own. All rounds keep the partitioning by thread.
+A span's parent is the last earlier span of its thread that hasn't ended by its start, contained or not, and its depth is
+one more than its parent's. Windows order, pair and deduplicate a thread's events; the tree is made in one pass over the
+sorted threads, which keeps only the spans that are open. Windows could tell parents too, but only a level a round, with a
+sort for each level of depth.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanframe.plans.scratch import saved
+from spanframe.plans.places import placed
 
 THREAD = ["pid", "tid"]
 PATH = "array<struct<event_id:bigint,name:string,category:string>>"
@@ -50,30 +54,49 @@ def deduplicated(rows: DataFrame) -> DataFrame:
     return r.withColumn("in_thread", rank == 1).drop("_new", "_run")
 
 
-def nested(rows: DataFrame, rounds: int = 3, most: int = 4096) -> DataFrame:
-    """``rows`` with depth, parent_id and path, the ancestors from the root down. Each pass takes on what is left."""
-    left = rows.withColumn("end_ts", F.col("ts") + F.col("dur")).withColumns({"depth": F.lit(None).cast("int"), "parent_id": F.lit(None).cast("long"), "path": F.array().cast(PATH)})
-    done = None
-    for start in range(0, most, rounds):
-        state = left
-        for k in range(start, start + rounds):
-            key = Window.partitionBy(*THREAD, F.col("depth").isNull(), "parent_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-            open_until = F.max(F.when((F.col("dur") > 0) & F.col("depth").isNull(), F.col("end_ts"))).over(key)
-            state = state.withColumn("_top", F.col("depth").isNull() & (open_until.isNull() | (open_until <= F.col("ts"))))
-            above = F.last(F.when(F.col("_top") & (F.col("dur") > 0), F.struct("event_id", "name", "category")), ignorenulls=True).over(key)
-            state = state.withColumn("_above", F.when(F.col("depth").isNull() & ~F.col("_top"), above))
-            under = F.col("_above").isNotNull()
-            state = state.withColumns({
-                "path": F.when(under, F.concat("path", F.array("_above"))).otherwise(F.col("path")),
-                "parent_id": F.when(under, F.col("_above.event_id")).otherwise(F.col("parent_id")),
-                "depth": F.when(F.col("_top"), F.lit(k)).otherwise(F.col("depth")),
-            }).drop("_top", "_above")
-        state = saved(state, "spans")
-        placed, left = state.where("depth IS NOT NULL"), state.where("depth IS NULL")
-        done = placed if done is None else done.unionByName(placed)
-        if not left.take(1):
-            return done
-    raise ValueError(f"spans nest deeper than {most}")
+def nested(rows: DataFrame) -> DataFrame:
+    """``rows`` with end_ts, depth, parent_id, parent_end and path, the ancestors from the root down. Lazy; one shuffle.
+
+    A task streams its threads in order and holds the open spans of one thread, however long the thread is.
+    """
+    rows = rows.withColumn("end_ts", F.col("ts") + F.col("dur"))
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(f"depth int, parent_id bigint, parent_end double, path {PATH}").fields])
+    return rows.repartition(*THREAD).sortWithinPartitions(*THREAD, "seq").mapInArrow(_walk, schema)
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    thread, ends, above = None, [], []  # of the open spans: when they end, and what the path tells of them
+    for batch in batches:
+        depths, parents, until, offsets, steps = [], [], [], [0], []
+        columns = [batch.column(c).to_pylist() for c in ("pid", "tid", "ts", "dur", "end_ts", "event_id", "name", "category")]
+        for pid, tid, ts, dur, end, event, name, category in zip(*columns):
+            if (pid, tid) != thread:
+                thread, ends, above = (pid, tid), [], []
+            while ends and ends[-1] <= ts:
+                ends.pop()
+                above.pop()
+            depths.append(len(ends))
+            parents.append(above[-1][0] if above else None)
+            until.append(ends[-1] if ends else None)
+            steps.extend(above)
+            offsets.append(len(steps))
+            if dur > 0:
+                ends.append(end)
+                above.append((event, name, category))
+        parts = [pa.array([s[k] for s in steps], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+        path = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, ["event_id", "name", "category"]))
+        told = [pa.array(depths, pa.int32()), pa.array(parents, pa.int64()), pa.array(until, pa.float64()), path]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*batch.schema.names, "depth", "parent_id", "parent_end", "path"])
+
+
+def thread_spans(events: DataFrame) -> DataFrame:
+    """Spans without the tree: durations of pairs, is_end, in_thread, seq and end_ts of all events but metadata.
+
+    Enough for what asks for times, threads and names only; one shuffle by thread.
+    """
+    rows = deduplicated_all(paired(ordered(events)))
+    loose = events.where("phase = 'C'").withColumn("is_end", F.lit(False)).withColumn("in_thread", F.lit(False))
+    return rows.unionByName(loose, allowMissingColumns=True).withColumn("end_ts", F.col("ts") + F.col("dur"))
 
 
 def build_spans(events: DataFrame) -> DataFrame:
@@ -84,9 +107,8 @@ def build_spans(events: DataFrame) -> DataFrame:
     """
     rows = deduplicated_all(paired(ordered(events)))
     thread = nested(rows.where("in_thread"))
-    child = thread.where("dur > 0 AND parent_id IS NOT NULL").select(F.col("parent_id").alias("event_id"), F.col("end_ts").alias("c_end"), F.col("dur").alias("c_dur"))
-    inner = child.join(thread.select("event_id", "end_ts"), "event_id").where("c_end <= end_ts").groupBy("event_id").agg(F.sum("c_dur").alias("_children"))
-    spans = thread.join(inner, "event_id", "left")
+    inner = thread.where("dur > 0 AND end_ts <= parent_end").groupBy(F.col("parent_id").alias("event_id")).agg(F.sum("dur").alias("_children"))
+    spans = thread.drop("parent_end").join(inner, "event_id", "left")
     own = F.when(F.col("dur") > 0, F.col("dur") - F.coalesce("_children", F.lit(0.0))).otherwise(0.0)
     spans = spans.withColumn("self_time", own).drop("_children")
     rest = rows.where("NOT in_thread").withColumn("end_ts", F.col("ts") + F.col("dur"))
@@ -115,8 +137,8 @@ def categories(events: DataFrame) -> DataFrame:
 
 def name_index(spans: DataFrame) -> DataFrame:
     """(name, n, event_id) of the timed events in order of start within their name."""
-    order = Window.partitionBy("name").orderBy("ts", "event_id")
-    return spans.where("dur > 0 AND phase <> 'C' AND NOT is_end").select("name", F.row_number().over(order).alias("n"), "event_id")
+    timed = spans.where("dur > 0 AND phase <> 'C' AND NOT is_end").select("name", "ts", "event_id")
+    return placed(timed, "name").select("name", "n", "event_id")
 
 
 def counter_bounds(counters: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException, ParseException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +29,17 @@ class Answer:
 
 
 def run_sql(spark: SparkSession, text: str, cap: int | None = 10_000) -> Answer:
-    """The query's rows, at most ``cap`` of them and whether there are more; or what is wrong with it."""
+    """The query's rows, at most ``cap`` of them and whether there are more; or what is wrong with it.
+
+    Without a cap nothing runs here, so only what can be told before running is told as an error.
+    """
     try:
         rows = spark.sql(text)
-    except (AnalysisException, ParseException) as e:
+        if cap is None:
+            return Answer(rows)
+        return Answer(rows.limit(cap), truncated=len(rows.limit(cap + 1).collect()) > cap)  # all columns are worked out, so errors show here
+    except (PySparkException, Py4JJavaError) as e:  # what can't be parsed or resolved, and what fails as it runs
         return Answer(error=str(e))
-    if cap is None:
-        return Answer(rows)
-    return Answer(rows.limit(cap), truncated=rows.limit(cap + 1).count() > cap)
 
 
 def describe_views(spark: SparkSession) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.functions import columns
@@ -18,8 +18,6 @@ from spanframe.sources import adapter, sinks, trace_json
 
 #: The view that range queries take: five days of the trace, in microseconds from its epoch.
 START, END = 5 * 86_400_000_000.0, 10 * 86_400_000_000.0
-#: The event whose descendants are asked for.
-EVENT = 9480
 
 
 def _trace(spark: SparkSession, d: str) -> trace_json.Trace:
@@ -34,6 +32,17 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
     return plan.build_spans(_events(spark, d))
 
 
+def _light(spark: SparkSession, d: str) -> DataFrame:
+    return plan.thread_spans(_events(spark, d))
+
+
+def _busiest(spans: DataFrame) -> int:
+    """The span with the most descendants, the smallest id of equals; -1 if there is none. One row comes to the driver."""
+    found = spans.where("in_thread").select(F.explode("path.event_id").alias("event_id")).groupBy("event_id").count()
+    first = found.orderBy(F.desc("count"), "event_id").limit(1).collect()
+    return first[0]["event_id"] if first else -1
+
+
 def hot_functions(spark: SparkSession, d: str) -> DataFrame:
     return overview.hot_functions(_events(spark, d)).withColumn("avg_dur", F.round("avg_dur", 3))
 
@@ -56,12 +65,13 @@ def a5_counters(spark, d):
 
 
 def a6_range_stats(spark, d):
-    r = ranges.range_stats(_spans(spark, d), START, END)
+    r = ranges.range_stats(_light(spark, d), START, END)
     return r.select("name", "n", "total", "min_part", "max_part", F.round("avg_part", 3).alias("avg_part"), F.round("pct", 6).alias("pct"), "longest")
 
 
 def a7_children_by_name(spark, d):
-    r = tree.children_by_name(_spans(spark, d), EVENT, descendants=True)
+    s = _spans(spark, d)
+    r = tree.sorted_children(tree.children_by_name(s, _busiest(s), descendants=True), "total")
     return r.select("name", "n", "total", F.round("avg", 3).alias("avg"), "min", "max", F.round("pct", 6).alias("pct"), "longest")
 
 
@@ -70,18 +80,18 @@ def a8_search_stats(spark, d):
 
 
 def a9_flame(spark, d):
-    return flame.flame(_spans(spark, d), START, END)
+    return flame.flame(_spans(spark, d), START, END).drop("keys")
 
 
 def a9_flame_hidden(spark, d):
-    return flame.flame(_spans(spark, d), START, END, hide_categories=["small"])
+    return flame.flame(_spans(spark, d), START, END, hide_categories=["small"]).drop("keys")
 
 
 def a10_flame_zoom(spark, d):
     nodes = flame.flame(_spans(spark, d), START, END)
-    root = nodes.where("level = 1").orderBy(F.desc("total"), "pid", "tid", "path").limit(1).select("pid", "tid", F.col("path").alias("root"), F.col("total").alias("root_total"))
-    under = nodes.join(F.broadcast(root), ["pid", "tid"]).where((F.col("path") == F.col("root")) | F.col("path").startswith(F.concat("root", F.lit(flame.STEP))))  # root is one row
-    return under.select("pid", "tid", "path", "total", F.round(F.col("total") / F.col("root_total"), 6).alias("share"), F.round(F.try_divide("total", "calls"), 3).alias("avg"))
+    top = nodes.where("level = 1").orderBy(F.desc("total"), "pid", "tid", "path").limit(1).collect()
+    pid, tid, keys = (top[0]["pid"], top[0]["tid"], [tuple(k) for k in top[0]["keys"]]) if top else (0, 0, [("", "")])
+    return flame.flame_zoom(nodes, pid, tid, keys).select("pid", "tid", "path", "total", F.round("share", 6).alias("share"), F.round("avg", 3).alias("avg"))
 
 
 def a11_call_rates(spark, d):
@@ -89,12 +99,14 @@ def a11_call_rates(spark, d):
 
 
 def a12_runs(spark, d):
-    r = tree.consolidate_runs(_spans(spark, d), EVENT)
+    s = _spans(spark, d)
+    r = tree.consolidate_runs(s, _busiest(s))
     return r.select("first_event", "name", "depth", "n", "total", "total_self", F.round("avg", 3).alias("avg"), F.round("avg_self", 3).alias("avg_self"))
 
 
 def a13_overview(spark, d):
-    return overview.overview(_trace(spark, d))
+    t = _trace(spark, d)
+    return overview.overview(trace_json.Trace(adapter.with_flows(t.events), t.processes, t.threads, t.counters))
 
 
 BUILT = sqlapi.QuerySpec(
@@ -135,12 +147,12 @@ def b6_max_depth(spark, d):
 
 def b8_call_stack(spark, d):
     s = _spans(spark, d)
-    deepest = s.where("in_thread").orderBy(F.desc("depth"), "event_id").limit(1)
-    return deepest.select(F.posexplode(F.concat("path", F.array(F.struct("event_id", "name", "category")))).alias("level", "s")).select("level", "s.event_id", "s.name")
+    deepest = s.where("in_thread").orderBy(F.desc("depth"), "event_id").select("event_id").limit(1).collect()
+    return tree.call_stack(s, deepest[0]["event_id"] if deepest else -1)
 
 
 def b11_bounds(spark, d):
-    return plan.bounds(_spans(spark, d))
+    return plan.bounds(_light(spark, d))
 
 
 def b12_categories(spark, d):
@@ -148,7 +160,7 @@ def b12_categories(spark, d):
 
 
 def b13_name_index(spark, d):
-    return plan.name_index(_spans(spark, d))
+    return plan.name_index(_light(spark, d))
 
 
 def b14_counter_bounds(spark, d):
@@ -160,7 +172,7 @@ def p1_visible(spark, d):
 
 
 def p3_thread_counts(spark, d):
-    return filters.thread_counts(_spans(spark, d), _trace(spark, d).threads)
+    return filters.thread_counts(_light(spark, d), _trace(spark, d).threads)
 
 
 def p4_search(spark, d):
@@ -168,38 +180,40 @@ def p4_search(spark, d):
 
 
 def p6_overlapping(spark, d):
-    return filters.overlapping(_spans(spark, d), START, END).select("event_id")
+    return filters.overlapping(_light(spark, d), START, END).select("event_id")
 
 
 def j3_counter_asof(spark, d):
     t = _trace(spark, d)
-    probes = t.events.where("event_id % 3 = 0").select("event_id", "pid", "name", (F.col("ts") + 1800000000.0).alias("t"))
+    probes = t.events.select("event_id", "pid", "name", (F.col("ts") + 1800000000.0).alias("t"))
     return joins.counter_asof(t.counters, probes).select("event_id", "point_ts", "value")
 
 
 def j3_counter_asof_all(spark, d):
-    """j3_counter_asof for every event."""
-    t = _trace(spark, d)
-    probes = t.events.select("event_id", "pid", "name", (F.col("ts") + 1800000000.0).alias("t"))
-    return joins.counter_asof(t.counters, probes).select("event_id", "point_ts", "value")
+    """j3_counter_asof under the name that it had while that asked for fewer events."""
+    return j3_counter_asof(spark, d)
 
 
 def j4_flow_edges(spark, d):
-    edges = joins.flow_edges(_spans(spark, d), START, END, hide_tids=[3])
+    edges = joins.flow_edges(adapter.with_flows(_events(spark, d)), START, END, hide_tids=[3])
     return edges.select("flow_id", "src_event", "dst_event_id", "latency").withColumn("flow_id", F.col("flow_id").cast("long"))
 
 
+def j4_flow_one_id(spark, d):
+    """Flow edges where all flow events lack an id: one flow holds them all."""
+    edges = joins.flow_edges(adapter.with_flows(_events(spark, d)).withColumn("id", F.lit(0).cast("decimal(20,0)")))
+    return edges.select("src_event", "dst_event_id", "latency")
+
+
 def j6_span_at(spark, d):
     s = _spans(spark, d)
-    probes = s.where("in_thread AND event_id % 5 = 0").select("pid", "tid", "depth", (F.col("ts") + 60_000_000).alias("t")).distinct()
+    probes = s.where("in_thread").select("pid", "tid", "depth", (F.col("ts") + 60_000_000).alias("t")).distinct()
     return joins.span_at(s, probes, 1000.0)
 
 
 def j6_span_at_all(spark, d):
-    """j6_span_at for every span of a thread."""
-    s = _spans(spark, d)
-    probes = s.where("in_thread").select("pid", "tid", "depth", (F.col("ts") + 60_000_000).alias("t")).distinct()
-    return joins.span_at(s, probes, 1000.0)
+    """j6_span_at under the name that it had while that asked for fewer spans."""
+    return j6_span_at(spark, d)
 
 
 def j7_children(spark, d):
@@ -211,7 +225,7 @@ def j7_children(spark, d):
 
 def j8_range_stats_many(spark, d):
     days = spark.range(1, 20).select(F.col("id").alias("range_id"), (F.col("id") * 86_400_000_000.0).alias("start"), ((F.col("id") + 2) * 86_400_000_000.0).alias("end"))
-    r = ranges.range_stats_many(_spans(spark, d), days)
+    r = ranges.range_stats_many(_light(spark, d), days)
     return r.select("range_id", "name", "n", "total", "min_part", "max_part", "longest")
 
 
@@ -220,7 +234,7 @@ def w1_unique(spark, d):
 
 
 def w2_longest_instance(spark, d):
-    return tree.longest_instance(_spans(spark, d))
+    return tree.longest_instance(_light(spark, d))
 
 
 def w3_navigation(spark, d):
@@ -228,7 +242,7 @@ def w3_navigation(spark, d):
 
 
 def w5_instances(spark, d):
-    return tree.instances(_spans(spark, d), "click").select("event_id", "n", "prev", "next", "dur")
+    return tree.instances(_light(spark, d), "click").select("event_id", "n", "prev", "next", "dur")
 
 
 def q1_sql(spark, d):
@@ -264,8 +278,9 @@ def s14_trace_json(spark, d):
 
 
 def x1_format_time(spark, d):
-    scaled = _events(spark, d).select("event_id", (F.col("dur") / F.pow(F.lit(10.0), F.pmod("event_id", F.lit(12)))).alias("us"))
-    return scaled.select("event_id", F.regexp_extract(columns.format_time(F.col("us")), "[a-z]+$", 0).alias("unit"))
+    """Numbers of all sizes; a quarter is added so that none lies half way between two roundings."""
+    scaled = _events(spark, d).select("event_id", (F.floor(F.col("dur") / F.pow(F.lit(10.0), F.pmod("event_id", F.lit(12)))) + 0.25).alias("us"))
+    return scaled.select("event_id", columns.format_time(F.col("us")).alias("told"))
 
 
 def x2_source(spark, d):
@@ -282,6 +297,106 @@ def x4_args(spark, d):
     return columns.explode_args(_events(spark, d))
 
 
+def x4_nested_args(spark, d):
+    """Args nested in objects and arrays."""
+    nested = F.to_json(F.struct(F.struct(F.col("tid").alias("t"), F.array("name", "category").alias("texts")).alias("a"), F.array(F.struct(F.col("pid").alias("p"))).alias("b")))
+    return columns.explode_args(_events(spark, d).withColumn("args", nested))
+
+
+def _json(t: DataFrame, *more) -> DataFrame:
+    """Events as JSON text, with metadata and flow ids as a trace file has them."""
+    return t.select("event_id", F.to_json(F.struct("name", F.col("category").alias("cat"), F.col("phase").alias("ph"), "ts", "dur", "pid", "tid", F.concat(F.lit("0x"), F.hex("tid")).alias("id"), *more)).alias("value"))
+
+
+def s2_read_array(spark, d):
+    """Array traces, one of them with brackets on the lines of events and two events on a line; times in nanoseconds."""
+    path = scratch.new_path(spark, "array")
+    lines = _json(_events(spark, d)).groupBy(F.floor(F.col("event_id") / 2).alias("k")).agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("value"))
+    thread = lines.groupBy(F.pmod("k", F.lit(64)).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("value")), ",\n"), F.lit("]")).alias("value"))
+    thread.repartition(8, "file").select("value").write.option("lineSep", "\n").text(path)  # several arrays to a file, so files are read line by line
+    events = trace_json.read_trace(spark, path, time_unit="ns").events
+    return events.select("name", "category", "ts", "dur", "pid", "tid", F.col("id").cast("long").alias("id"))
+
+
+def s8_metadata(spark, d):
+    """Names from metadata events; the last name of a thread holds."""
+    path = scratch.new_path(spark, "metadata")
+    e = _events(spark, d)
+    meta = lambda name, n: F.to_json(F.struct(F.lit("M").alias("ph"), F.lit(name).alias("name"), "pid", "tid", F.struct(n.alias("name")).alias("args")))
+    named = e.select("pid", "tid").distinct().select(F.array(meta("process_name", F.concat(F.lit("proc "), F.col("pid").cast("string"))), meta("thread_name", F.lit("first")), meta("thread_name", F.concat(F.lit("of "), F.col("tid").cast("string")))).alias("m"))
+    named.select(F.array_join("m", ",\n").alias("value")).write.text(path)
+    t = trace_json.read_trace(spark, path)
+    return joins.with_names(t.threads.select("pid", "tid"), t.processes, t.threads)
+
+
+def s10_ordinals(spark, d):
+    """Each event's place in its file."""
+    path = scratch.new_path(spark, "ordinals")
+    _json(_events(spark, d), F.struct("event_id").alias("args")).repartition(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    events = trace_json.read_trace(spark, path).events
+    return events.select(F.col("event_id").alias("place"), F.get_json_object("args", "$.event_id").cast("long").alias("event_id"))
+
+
+def s13_tsv(spark, d):
+    path = scratch.new_path(spark, "tsv")
+    sinks.export(_events(spark, d).select("event_id", "name", "args"), path, "\t")
+    return spark.read.text(f"{path}/rows").select("value")
+
+
+def q2_schema(spark, d):
+    """The views' columns and types."""
+    sqlapi.register(_trace(spark, d))
+    return sqlapi.describe_views(spark).select("view", "column", "type")
+
+
+def l2_row_cap(spark, d):
+    """The row cap: at most so many rows, and whether there are more."""
+    sqlapi.register(_trace(spark, d))
+    answer = sqlapi.run_sql(spark, "SELECT event_id, name FROM events ORDER BY event_id", cap=100)
+    return answer.rows.withColumn("truncated", F.lit(answer.truncated))
+
+
+def _ranked(rows: DataFrame, *columns: str) -> DataFrame:
+    """Sorted rows with their place, to show the order."""
+    return rows.limit(50).withColumn("_at", F.monotonically_increasing_id()).select(*columns, F.row_number().over(Window.orderBy("_at")).alias("place"))
+
+
+def l3_search_sort(spark, d):
+    """The first 50 matches by duration, the longest first."""
+    return _ranked(filters.search(_events(spark, d), "li", sort_by="dur", ascending=False), "event_id", "name", "dur")
+
+
+def l4_instance_sort(spark, d):
+    """The first 50 instances of a name, by duration."""
+    return _ranked(tree.instances(_light(spark, d), "click"), "event_id", "dur", "n")
+
+
+def l5_children_sort(spark, d):
+    """The first 50 descendants of the span that has most, by share."""
+    s = _spans(spark, d)
+    return _ranked(tree.sorted_children(tree.children(s, _busiest(s), descendants=True), "pct"), "event_id", "dur")
+
+
+def p2_categories(spark, d):
+    """How many events are left when all categories are hidden, and when all are shown."""
+    e = _events(spark, d)
+    count = lambda show: filters.visible_categories(e, show).agg(F.count("*").alias("n")).select(F.lit(show).alias("show"), "n")
+    return count(True).unionByName(count(False))
+
+
+def a11_metadata(spark, d):
+    """Call rates where metadata rows count too."""
+    e = _events(spark, d)
+    meta = e.select(F.lit("thread_name").alias("name"), F.lit(0.0).alias("ts"), "pid", "tid")
+    return counters.call_rates(e, 0.0001, meta).withColumn("rate", F.round("rate", 9))
+
+
+def j7_descendants(spark, d):
+    """All descendants of the span that has most."""
+    s = _spans(spark, d)
+    return tree.children(s, _busiest(s), descendants=True).select("event_id", F.round("pct", 6).alias("pct"))
+
+
 def s1_read_trace(spark, d):
     path = scratch.new_path(spark, "trace")
     sinks.write_trace(_events(spark, d), path)
@@ -300,7 +415,8 @@ def j2_names(spark, d):
 
 
 def p7_children_filtered(spark, d):
-    return tree.children(_spans(spark, d), EVENT, descendants=True, text="IC").select("event_id", "name", F.round("pct", 6).alias("pct"))
+    s = _spans(spark, d)
+    return tree.children(s, _busiest(s), descendants=True, text="IC").select("event_id", "name", F.round("pct", 6).alias("pct"))
 
 
 def q3_builder_sql(spark, d):
@@ -320,7 +436,8 @@ REGISTERED = [
     b13_name_index, b14_counter_bounds, p1_visible, p3_thread_counts, p4_search, p6_overlapping, j3_counter_asof, j4_flow_edges, j6_span_at, j7_children, j8_range_stats_many,
     w1_unique, w2_longest_instance, w3_navigation, w5_instances, q1_sql, d1_counter_buckets, d2_timeline_lod, s9_arg_counters, s13_csv, s14_trace_json, x1_format_time, x2_source,
     x3_remap_urls, x4_args, s1_read_trace, b10_thread_order, j2_names, p7_children_filtered, q3_builder_sql, w6_first_instances,
-    j3_counter_asof_all, j6_span_at_all,
+    j3_counter_asof_all, j6_span_at_all, j4_flow_one_id, x4_nested_args, s2_read_array, s8_metadata, s10_ordinals, s13_tsv, q2_schema, l2_row_cap, l3_search_sort, l4_instance_sort,
+    l5_children_sort, p2_categories, a11_metadata, j7_descendants,
 ]
 
 

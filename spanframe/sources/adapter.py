@@ -19,6 +19,12 @@ def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_flows(events: DataFrame) -> DataFrame:
+    """The events with flow phases by event id: of five, one begins a flow, one is a step, one ends it, two stay complete."""
+    step = F.pmod("event_id", F.lit(5))
+    return events.withColumn("phase", F.when(step == 0, "s").when(step == 1, "t").when(step == 2, "f").otherwise(F.col("phase")))
+
+
 def begin_end(events: DataFrame) -> DataFrame:
     """Each span as a begin and an end event; ends have ids above a thousand million."""
     begin = events.withColumn("phase", F.lit("B")).withColumn("dur", F.lit(0.0))

@@ -1,4 +1,4 @@
-"""Reading trace files: JSON objects with traceEvents, arrays, or lines of one event each."""
+"""Reading trace files: JSON objects with traceEvents, arrays, or lines of events."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ class Trace:
     processes: DataFrame
     threads: DataFrame
     counters: DataFrame
+    metadata: DataFrame | None = None
 
 
 def phase(ph: Column) -> Column:
@@ -35,23 +36,81 @@ def flow_id(text: Column) -> Column:
     return F.coalesce(number.try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
 
 
+EVENTS = T.ArrayType(RAW)
+WRAPPED = T.StructType([T.StructField("traceEvents", EVENTS)])
+
+
+def _told(text: Column) -> Column:
+    """Whether a text is one JSON value."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+
+
+def _events_of_line(line: Column) -> Column:
+    """The events of one line of a trace; null where the line is no part of one that can be told alone.
+
+    Between the brackets a line holds whole events; the first may also open the brackets and the last close them, with
+    other keys of the object before or after. Each such line becomes whole by the brackets that it lacks.
+    """
+    bare = F.regexp_replace(line, r"^[\s,]+|[\s,]+$", "")
+    parsed = lambda x: F.from_json(x, EVENTS)
+    inner = lambda x: F.coalesce(F.from_json(x, WRAPPED)["traceEvents"], F.array().cast(EVENTS))
+    between, opened = F.concat(F.lit("["), bare, F.lit("]")), r'^\{\s*("[^"\\]*"\s*:\s*("[^"\\]*"|[0-9.eE+-]+|true|false|null)\s*,\s*)*"traceEvents"\s*:\s*\['
+    ways = [  # condition on the line, the text made whole, the events in it
+        (bare.startswith("{") & ~bare.rlike(opened), between, parsed), (bare.rlike(opened), bare, inner), (bare.rlike(opened), F.concat(bare, F.lit("]}")), inner),
+        (bare.startswith("["), bare, parsed), (bare.startswith("["), F.concat(bare, F.lit("]")), parsed),
+        (bare.rlike(r"^[{\]]") & bare.endswith("}"), F.concat(F.lit('{"traceEvents":['), bare), inner), (bare.rlike(r"^[{\]]") & bare.endswith("]"), F.concat(F.lit("["), bare), parsed),
+    ]
+    out = F.when(bare == "", F.array().cast(EVENTS))
+    for fits, whole, events in ways:
+        out = out.when(fits & _told(whole), events(whole))
+    return out
+
+
+def _events_of_document(text: Column) -> Column:
+    """The events of a whole file; null for what is neither an array nor an object. An array may lack its last bracket."""
+    bare = F.regexp_replace(text, r"^[\s\x{FEFF}]+|[\s,]+$", "")
+    closed = F.concat(bare, F.lit("]"))
+    return (
+        F.when(bare == "", F.array().cast(EVENTS)).when(bare.startswith("[") & _told(bare), F.from_json(bare, EVENTS))
+        .when(bare.startswith("{") & _told(bare), F.coalesce(F.from_json(bare, WRAPPED)["traceEvents"], F.array().cast(EVENTS)))
+        .when(bare.startswith("[") & _told(closed), F.from_json(closed, EVENTS))
+    )
+
+
+def _rows(found: DataFrame, fault: str) -> DataFrame:
+    """A row for each element of ``events`` that is an object; an error where ``events`` is null."""
+    known = F.coalesce("events", F.raise_error(F.concat(F.lit(fault), F.col("file"))).cast(EVENTS))
+    rows = found.select("file", "block", "line_no", F.posexplode(known).alias("sub", "e"))
+    return rows.where("e IS NOT NULL").select("e.*", "file", "block", "line_no", "sub")
+
+
+#: Broken files are told apart by a broadcast up to so many; beyond, by a join.
+FEW_FILES = 100_000
+
+
 def read_raw(spark: SparkSession, path: str, mode: str = "auto") -> DataFrame:
-    """(RAW columns, file order as file, block, line). mode: lines (splits large files), document, or auto.
+    """(RAW columns, file order as file, block, line_no, sub). mode: lines, document or auto.
 
-    Lines are events when they begin with ``{`` and end with ``}``, a comma apart. auto takes lines where no line is
-    longer than an event's and the file has event lines, else whole documents.
+    lines: every line that isn't blank must hold whole events, several or one, and may open or close the brackets around
+    all of them; large files are split. document: each file is read as one text, by one task and up to 2 GB. auto takes
+    lines for the files in which every line can be told so, and documents for the others. No event is passed over: what
+    can't be read is an error.
     """
-    text = spark.read.text(path).select(F.regexp_replace(F.trim("value"), ",$", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    lines = text.where(F.col("line").startswith("{") & F.col("line").endswith("}") & (F.col("line") != "{}") & ~F.col("line").rlike(r'^\{\s*"traceEvents"'))
-    if mode == "auto":
-        mode = "lines" if lines.where(F.from_json("line", RAW)["ph"].isNotNull()).take(1) else "document"
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = text.withColumn("line_no", F.monotonically_increasing_id()).withColumn("events", _events_of_line(F.col("value")))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("line_no"), _events_of_document(F.col("value")).alias("events"))
+    by_line, by_file = _rows(lines, "a line isn't whole events in "), _rows(whole, "not a trace: ")
     if mode == "lines":
-        rows = lines.withColumn("e", F.from_json("line", RAW)).withColumn("line_no", F.monotonically_increasing_id())
-        return rows.where("e IS NOT NULL").select("e.*", "file", "block", "line_no")
-    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"))
-    wrapped = F.from_json("value", T.StructType([T.StructField("traceEvents", T.ArrayType(RAW))]))["traceEvents"]
-    events = F.when(F.col("value").startswith("["), F.from_json("value", T.ArrayType(RAW))).otherwise(wrapped)
-    return whole.select("file", F.posexplode(events).alias("line_no", "e")).select("e.*", "file", F.lit(0).alias("block"), F.col("line_no").cast("long").alias("line_no"))
+        return by_line
+    if mode == "document":
+        return by_file
+    broken = lines.where("events IS NULL").select("file").distinct()
+    count = broken.limit(FEW_FILES + 1).count()
+    if not count:
+        return by_line
+    broken = F.broadcast(broken) if count <= FEW_FILES else broken
+    some = lines.join(broken, "file", "left_anti")
+    return _rows(some, "a line isn't whole events in ").unionByName(_rows(whole.join(broken, "file", "left_semi"), "not a trace: "))
 
 
 def normalise(raw: DataFrame, time_unit: str = "us") -> DataFrame:
@@ -71,13 +130,13 @@ def numbered(raw: DataFrame) -> DataFrame:
     Two passes: rows are counted by block, and places start from the blocks before; no row order is made on one task.
     """
     part = raw.withColumn("meta", phase(F.col("ph")) == "M").withColumn("chunk", F.shiftright("line_no", 33))
-    sizes = part.where("NOT meta").groupBy("file", "block", "chunk").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("file", "block", "chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("file", "block", "chunk", before.alias("start"))  # a row for each block of a file
-    inside = F.row_number().over(Window.partitionBy("file", "block", "chunk", "meta").orderBy("line_no"))
-    rows = part.withColumn("inside", inside).join(starts, ["file", "block", "chunk"], "left")
-    place = F.when(F.col("meta"), F.col("line_no") - F.lit(1 << 62)).otherwise(F.coalesce("start", F.lit(0)) + F.col("inside") - 1)
-    return rows.withColumn("event_id", place.cast("long")).drop("meta", "inside", "start", "chunk")
+    keys = ["meta", "file", "block", "chunk"]
+    sizes = part.groupBy(*keys).count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("meta").orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*keys, before.alias("start"))  # a row for each block of a file
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("line_no", "sub"))
+    place = F.col("start") + F.col("inside") - 1 - F.when(F.col("meta"), F.lit(1 << 62)).otherwise(0)
+    return part.withColumn("inside", inside).join(starts, keys).withColumn("event_id", place.cast("long")).drop("meta", "inside", "start", "chunk")
 
 
 def counters_of(events: DataFrame) -> DataFrame:
@@ -110,4 +169,4 @@ def read_trace(spark: SparkSession, path: str, time_unit: str = "us", mode: str
     everything = normalise(numbered(read_raw(spark, path, mode)), time_unit)
     processes, threads = dimensions(everything)
     events = everything.where("phase <> 'M'")
-    return Trace(events, processes, threads, counters_of(events))
+    return Trace(events, processes, threads, counters_of(events), everything.where("phase = 'M'"))

@@ -161,3 +161,49 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT name, n FROM live").collect()[0]["n"] == 1
+
+
+def test_flows_are_paired_by_phase(spark, tmp_path):
+    rows = [{"ph": "X", "name": f"x{k}", "ts": k, "dur": 1, "pid": 1, "tid": 1} for k in range(5)]
+    rows[1:1] = [{"ph": "s", "name": "f", "ts": 1200, "pid": 1, "tid": 1, "id": 1}]
+    rows += [{"ph": "f", "name": "f", "ts": 4500, "pid": 2, "tid": 1, "id": "0x1"}, {"ph": "t", "name": "lone", "ts": 9, "pid": 1, "tid": 1, "id": 7}]
+    (tmp_path / "t").write_text(json.dumps({"traceEvents": rows}))
+    t = trace_json.read_trace(spark, str(tmp_path / "t"))
+    got = [(r["src_event"], r["dst_event_id"], r["latency"]) for r in joins.flow_edges(plan.build_spans(t.events)).collect()]
+    assert got == [(1, 6, 3300.0)] and overview.overview(t).first()["flows"] == 2
+    joins.FLOW_CHUNK, kept = 2, joins.FLOW_CHUNK
+    try:
+        many = events(spark, [("f", "s", k, 0) for k in range(9)])
+        assert {(r["src_event"], r["dst_event_id"]) for r in joins.flow_edges(many).collect()} == {(k, k + 1) for k in range(8)}
+    finally:
+        joins.FLOW_CHUNK = kept
+
+
+def test_places_in_pieces(spark):
+    from spanframe.plans.places import placed
+
+    rng = random.Random(2)
+    rows = [(k, rng.choice("aab"), float(rng.randrange(30))) for k in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, name string, ts double")
+    got = {r["event_id"]: (r["n"], r["prev"], r["next"]) for r in placed(df, "name", piece_rows=17).collect()}
+    for name in "ab":
+        ids = [k for k, n, _ in sorted(rows, key=lambda r: (r[2], r[0])) if n == name]
+        assert all(got[k] == (i + 1, ids[i - 1] if i else None, ids[i + 1] if i + 1 < len(ids) else None) for i, k in enumerate(ids))
+    assert placed(df.limit(0), "name").count() == 0
+
+
+def test_nested_args_sorts_categories_and_rates(spark):
+    e = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": null}], "s": "[1]"}, "e": [], "t": true}'), (2, None), (3, "no")], "event_id long, args string")
+    want = {("a.b[0]", "1"), ("a.b[1].c", None), ("a.s", "[1]"), ("e", "[]"), ("t", "true")}
+    assert {(r["key"], r["value"]) for r in columns.explode_args(e).collect()} == want
+    s = plan.build_spans(events(spark, [("main", "X", 0, 100), ("b", "X", 10, 40), ("a", "X", 60, 30)]))
+    assert [r["name"] for r in tree.sorted_children(tree.children(s, 0), "name", True).collect()] == ["a", "b"]
+    assert [r["name"] for r in tree.sorted_children(tree.children_by_name(s, 0), "total").collect()] == ["b", "a"]
+    assert filters.visible_categories(s, False).count() == 0 and filters.visible_categories(s, True).count() == 3
+    assert [r["event_id"] for r in filters.first_per_name(events(spark, [("x", "X", 1, 1), ("x", "X", 0, 1)])).collect()] == [0]
+    meta = spark.createDataFrame([("thread_name", 0.0)], "name string, ts double")
+    assert {r["name"] for r in counters.call_rates(events(spark, [("x", "X", 1, 1), ("x", "X", 2, 1)]), 1.0, meta).collect()} == {"x", "thread_name"}
+    f = flame.flame(plan.build_spans(events(spark, [("a|c > b", "X", 0, 9), ("a", "X", 20, 9), ("b", "X", 21, 2)])), 0.0, 100.0)
+    assert {tuple(k["name"] for k in r["keys"]) for r in flame.flame_zoom(f, 1, 1, [("a", "c")]).collect()} == {("a",), ("a", "b")}
+    sqlapi.register(trace_json.Trace(events(spark, [("x", "X", 1, 1)]), *trace_json.dimensions(events(spark, [("x", "X", 1, 1)])), trace_json.counters_of(events(spark, []))))
+    assert sqlapi.run_sql(spark, "SELECT raise_error('at run time') FROM events").error
