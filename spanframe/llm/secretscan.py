@@ -1,14 +1,17 @@
 """Secret scans: strict patterns, and a battery of randomness tests over long tokens. DataFrame functions only.
 
-Base spans (assignments, access keys, hex strings) are matches of strict patterns. Every other long token is tested for
-randomness in the encoding inferred for it: how evenly it uses the alphabet (chi-squared), how often it changes between
-the alphabet's halves (runs), and how a character follows from the one before (serial correlation). The worst of the three
-deviations is the token's score; the smaller, the more random.
-
-Which scores ordinary text reaches by chance is read from the corpus: long tokens of letters alone are decoys, tested like
-the others as if they were codes. A candidate's p-value is the share of decoys of its length class that score as low. In
-each length class the Benjamini-Hochberg rule then picks the score up to which the share of false discoveries is bounded.
-Counts of scores by length class, few however large the corpus, are all that is gathered.
+Base spans (assignments, access keys, hex strings) are matches of strict patterns. Every long token, in a base span or not,
+is tested for randomness in the encoding inferred for it: how evenly it uses the alphabet (chi-squared), how often it
+changes between vowels or even digits and the rest (runs), and how a character follows from the one before (serial correlation). Each
+test gives a deviation in standard deviations, z, whose p-value falls about as exp(-z * z / 2); the tests are combined as
+Fisher's method combines p-values, by the sum of z * z. The smaller the sum, the more random the token.
+
+How random ordinary text looks by chance is read from the corpus: each document gives one decoy, a run of its plain words'
+letters of a token's length, which is tested like a token. A token's p-value is the share of decoys of its length class that
+look as random. In each length class the Benjamini-Hochberg rule then picks the score up to which the share of false
+discoveries is bounded, for the tokens in base spans and for the others by themselves: the former tell what the battery
+recognises, and don't loosen the bound for the latter, of which those found random are added. Counts of scores by length
+class, few however large the corpus, are all that is gathered.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.llm.common import fresh_name
-from spanframe.llm.native import joined, let, matches, overlaps
+from spanframe.llm.native import joined, let, marked, matches
 
 #: Kinds in the order of the digest; the first three are base kinds.
 KINDS = ["assign", "access", "hex", "random"]
@@ -61,7 +64,7 @@ def base_spans(text: Column) -> Column:
 
 
 def score(token: Column) -> Column:
-    """The worst deviation of a token from randomness, in standard deviations."""
+    """The three tests' deviations of a token from randomness together: the root of the sum of their squares."""
     bare = F.rtrim(token, F.lit("="))
     alphabet = F.coalesce(*[F.when(bare.rlike(p) if p else F.lit(True), a) for p, a in ENCODINGS])
 
@@ -73,14 +76,19 @@ def score(token: Column) -> Column:
         squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + (c * c).cast("double"))
         even = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1))
         at = F.transform(chars, lambda c: F.instr(letters, c).cast("double"))
-        return let(at, lambda a: F.greatest(even, F.abs(_runs(a, n, k)), F.abs(_serial(a, n))))
+        square = lambda z: z * z
+        return let(at, lambda a: F.sqrt(square(F.greatest(even, F.lit(0.0))) + square(_runs(chars, n)) + square(_serial(a, n))))
 
     return F.when(F.length(bare) < 8, float(STEPS)).otherwise(let(F.struct(bare.alias("word"), alphabet.alias("letters")), tested))
 
 
-def _runs(at: Column, n: Column, k: Column) -> Column:
-    """Runs of characters from one half of the alphabet, against the number expected of so many from either half."""
-    halves = F.transform(at, lambda a: a > k / 2)
+#: One part of each alphabet for the runs test: vowels, which take turns with consonants in words, and even digits.
+PART = "aeiouyAEIOUY02468"
+
+
+def _runs(chars: Column, n: Column) -> Column:
+    """Runs of characters from one part of the alphabet, against the number expected of so many from either part."""
+    halves = F.transform(chars, lambda c: F.lit(PART).contains(c))
     above = F.size(F.filter(halves, lambda h: h)).cast("double")
     below = n - above
     runs = 1 + F.size(F.filter(F.sequence(F.lit(1), F.size(halves) - 1), lambda i: F.get(halves, i) != F.get(halves, i - 1)))
@@ -98,78 +106,131 @@ def _serial(at: Column, n: Column) -> Column:
     return F.when(spread > 1e-9, along / spread * F.sqrt(n)).otherwise(F.sqrt(n))
 
 
+#: A plain word: letters that are no part of a longer token.
+PLAIN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]++(?![0-9+/_=-])"
+
+
+def _group(length: Column) -> Column:
+    return sum((F.when(length >= low, 1).otherwise(0) for low in LENGTHS[1:]), F.lit(0))
+
+
+def _step(token: Column) -> Column:
+    return F.least(F.greatest(F.floor(score(token) * 10), F.lit(0)), F.lit(STEPS)).cast("int")
+
+
+def decoy(text: Column) -> Column:
+    """array<struct<class, step>> of one decoy of the text: letters of its plain words, from a place that its hash picks.
+
+    Empty where the plain words have fewer letters than the shortest token.
+    """
+    letters = F.array_join(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PLAIN), F.lit(0)), "")
+
+    def one(x: Column) -> Column:
+        size = F.length(x)
+        chance = lambda salt, n: F.pmod(F.xxhash64(x, F.lit(salt)), n)
+        low = F.get(F.array(*[F.lit(v) for v in LENGTHS]), chance(1, _group(size) + 1).cast("int"))
+        token = F.substring(x, chance(2, size - low + 1).cast("int") + 1, low)
+        made = let(token, lambda t: F.struct(_group(F.length(t)).alias("class"), _step(t).alias("step")))
+        return F.when(size >= LENGTHS[0], F.array(made)).otherwise(F.array().cast("array<struct<class:int,step:int>>"))
+
+    return let(letters, one)
+
+
 def candidates(text: Column, base: Column) -> Column:
-    """struct<start, end, decoy, class, step> of the long tokens that meet no base span."""
+    """struct<start, end, known, class, step> of the long tokens; known: it meets a base span."""
     text = F.coalesce(text, F.lit(""))
-    long = F.filter(matches(text, TOKEN, text.rlike("[A-Za-z0-9+/_=-]{16}")), lambda s: ~overlaps(s, base))
-    wanted = F.filter(long, lambda s: s["value"].rlike("[A-Za-z]"))
+    wanted = F.filter(matches(text, TOKEN, text.rlike("[A-Za-z0-9+/_=-]{16}")), lambda s: s["value"].rlike("[A-Za-z]"))
 
-    def one(s: Column) -> Column:
-        length = F.length(s["value"])
-        group = sum((F.when(length >= low, 1).otherwise(0) for low in LENGTHS[1:]), F.lit(0))
-        step = F.least(F.greatest(F.floor(score(s["value"]) * 10), F.lit(0)), F.lit(STEPS)).cast("int")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), (~s["value"].rlike("[0-9]")).alias("decoy"), group.alias("class"), step.alias("step"))
+    def one(s: Column, meets: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), meets.alias("known"), _group(F.length(s["value"])).alias("class"), _step(s["value"]).alias("step"))
 
-    return F.transform(wanted, one)
+    return let(wanted, lambda w: marked(w, base, one))
 
 
-def cutoffs(rows: list[tuple[int, bool, int, int]], params: SecretParams) -> dict[int, int]:
-    """rows: (class, decoy, step, how many). The highest step of each class at which the false share holds; -1 for none."""
-    targets = [[0] * (STEPS + 1) for _ in LENGTHS]
-    decoys = [[0] * (STEPS + 1) for _ in LENGTHS]
-    for group, decoy, step, n in rows:
-        (decoys if decoy else targets)[group][step] += n
+#: Groups of counts: decoys, tokens in base spans, other tokens.
+DECOY, KNOWN, OTHER = 0, 1, 2
+
+
+def cutoffs(rows: list[tuple[int, int, int, int]], params: SecretParams) -> dict[tuple[int, int], int]:
+    """rows: (class, group, step, how many). The highest step of each class at which the false share holds, for known and
+    for other tokens; -1 for none."""
+    counts = [[[0] * (STEPS + 1) for _ in LENGTHS] for _ in range(3)]
+    for length, group, step, n in rows:
+        counts[group][length][step] += n
     out = {}
-    for group in range(len(LENGTHS)):
-        own = list(decoys[group])
-        for lower in range(group - 1, -1, -1):
+    for length in range(len(LENGTHS)):
+        own = list(counts[DECOY][length])
+        for lower in range(length - 1, -1, -1):
             if sum(own) >= params.decoys:
                 break
-            own = [a + b for a, b in zip(own, decoys[lower])]
-        best, below, found, total, tested = -1, 0, 0, sum(own), sum(targets[group])
-        for step in range(STEPS + 1):
-            below += own[step]
-            found += targets[group][step]
-            if total and found and (below + 1) / (total + 1) * tested / found <= params.false_share:
-                best = step
-        out[group] = best
+            own = [a + b for a, b in zip(own, counts[DECOY][lower])]
+        total = sum(own)
+        for group in (KNOWN, OTHER):
+            best, below, found, tested = -1, 0, 0, sum(counts[group][length])
+            for step in range(STEPS + 1):
+                below += own[step]
+                found += counts[group][length][step]
+                if total and found and (below + 1) / (total + 1) * tested / found <= params.false_share:
+                    best = step
+            out[length, group] = best
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", params: SecretParams = SecretParams()) -> dict[int, int]:
+def fit(docs: DataFrame, text_col: str = "text", params: SecretParams = SecretParams()) -> dict[tuple[int, int], int]:
+    """The cut-offs, from the counts of all texts' tokens and decoys."""
     text = F.col(text_col)
-    found = docs.select(F.explode(let(base_spans(text), lambda base: candidates(text, base))).alias("c")).groupBy("c.class", "c.decoy", "c.step").count()
-    return cutoffs([tuple(r) for r in found.collect()], params)  # as many rows as classes and steps at most
+    row = lambda group, c: F.struct(c["class"].alias("class"), group.alias("group"), c["step"].alias("step"))
+    tokens = let(base_spans(text), lambda base: F.transform(candidates(text, base), lambda c: row(F.when(c["known"], KNOWN).otherwise(OTHER), c)))
+    decoys = F.transform(decoy(text), lambda c: row(F.lit(DECOY), c))
+    found = docs.select(F.explode(F.concat(tokens, decoys)).alias("c")).groupBy("c.class", "c.group", "c.step").count()
+    return cutoffs([tuple(r) for r in found.collect()], params)  # as many rows as classes, groups and steps at most
 
 
-def located(text: Column, cuts: dict[int, int]) -> Column:
-    """struct<base, spans>: arrays of struct<start, kind, end>; spans holds the base spans and the tokens found random."""
-    limit = F.array(*[F.lit(cuts.get(g, -1)) for g in range(len(LENGTHS))])
+def located(text: Column, cuts: dict[tuple[int, int], int]) -> Column:
+    """struct<base, spans, judged>; base and spans: arrays of struct<start, kind, end>; spans has the added tokens too.
 
-    def spans(base: Column) -> Column:
-        if max(cuts.values(), default=-1) < 0:
-            return base
-        chosen = F.filter(candidates(text, base), lambda c: ~c["decoy"] & (c["step"] <= F.get(limit, c["class"])))
-        return F.array_sort(F.concat(base, F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))))
+    judged: struct<start, end, step, known, random> of every long token, random being the battery's verdict.
+    """
+    limits = [F.array(*[F.lit(cuts.get((length, group), -1)) for length in range(len(LENGTHS))]) for group in (KNOWN, OTHER)]
 
-    return let(base_spans(text), lambda base: F.struct(base.alias("base"), spans(base).alias("spans")))
+    def told(base: Column) -> Column:
+        def verdict(c: Column) -> Column:
+            random = c["step"] <= F.when(c["known"], F.get(limits[0], c["class"])).otherwise(F.get(limits[1], c["class"]))
+            return F.struct(*[c[x].alias(x) for x in ("start", "end", "step", "known")], random.alias("random"))
 
+        def whole(judged: Column) -> Column:
+            added = F.transform(F.filter(judged, lambda c: c["random"] & ~c["known"]), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+            return F.struct(base.alias("base"), F.array_sort(F.concat(base, added)).alias("spans"), judged.alias("judged"))
 
-def find(docs: DataFrame, cuts: dict[int, int], text_col: str = "text") -> DataFrame:
-    """``docs`` with secret_base and secret_spans: arrays of struct<start, kind, end> by start, then kind.
+        return let(F.transform(candidates(text, base), verdict), whole)
 
-    A null or empty text has no spans. Columns of ``docs`` with these names give way to the operator's.
+    return let(base_spans(text), told)
+
+
+def find(docs: DataFrame, cuts: dict[tuple[int, int], int], text_col: str = "text") -> DataFrame:
+    """``docs`` with secret_base and secret_spans: arrays of struct<start, kind, end> by start, then kind; and secret_judged.
+
+    secret_judged has each long token's score and verdict (located()). A null or empty text has none. Columns of ``docs``
+    with these names give way to the operator's.
     """
     held = fresh_name(docs, "_secrets")
-    plain = [F.col(c) for c in docs.columns if c.lower() not in ("secret_base", "secret_spans")]
-    return docs.withColumn(held, located(F.col(text_col), cuts)).select(*plain, F.col(held)["base"].alias("secret_base"), F.col(held)["spans"].alias("secret_spans"))
+    own = {"secret_base": "base", "secret_spans": "spans", "secret_judged": "judged"}
+    plain = [F.col(c) for c in docs.columns if c.lower() not in own]
+    return docs.withColumn(held, located(F.col(text_col), cuts)).select(*plain, *[F.col(held)[field].alias(name) for name, field in own.items()])
 
 
-def digest(docs: DataFrame, cuts: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row."""
+def digest(docs: DataFrame, cuts: dict[tuple[int, int], int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, judged) of every row.
+
+    n_random: tokens added. judged: start:end:verdict:score of each long token, verdict being base or token, then random or
+    plain, the score in tenths; joined by commas.
+    """
     count = lambda spans, k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+    verdict = lambda c: F.concat(F.when(c["known"], "base_").otherwise("token_"), F.when(c["random"], "random").otherwise("plain"))
+    one = lambda c: F.concat_ws(":", c["start"].cast("string"), c["end"].cast("string"), verdict(c), c["step"].cast("string"))
     told = lambda f: F.struct(
         *[count(f["base"], k).alias(f"n_{n}") for k, n in enumerate(KINDS[:3])],
         F.sha2(joined(f["base"], KINDS), 256).alias("base_sha256"), joined(f["spans"], KINDS).alias("spans"),
+        count(f["spans"], 3).alias("n_random"), F.array_join(F.transform(f["judged"], one), ",").alias("judged"),
     )
     return docs.select(F.col(id_col).alias("doc_id"), let(located(F.col(text_col), cuts), told).alias("found")).select("doc_id", "found.*")
