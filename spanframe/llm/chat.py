@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import bound_batches
+from spanframe.llm.common import bound_batches, fresh_name
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -36,13 +36,20 @@ class Mapping:
     roles: tuple[tuple[str, str], ...] = ()
 
 
-def paths(value: object, at: str = "") -> set[str]:
+def paths(value: object) -> set[str]:
     """The nested field paths of a JSON value; the elements of an array share the path ``[]``."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in ({f"{at}.{k}"} | paths(v, f"{at}.{k}"))}
-    if isinstance(value, list):
-        return {p for v in value for p in ({f"{at}[]"} | paths(v, f"{at}[]"))}
-    return set()
+    found, left = set(), [(value, "")]
+    while left:
+        value, at = left.pop()
+        if isinstance(value, dict):
+            parts = [(v, f"{at}.{k}") for k, v in value.items()]
+        elif isinstance(value, list):
+            parts = [(v, f"{at}[]") for v in value]
+        else:
+            continue
+        found.update(p for _, p in parts)
+        left += parts
+    return found
 
 
 def fingerprint(value: object) -> int:
@@ -67,20 +74,30 @@ MAPPINGS: dict[int, Mapping] = {
 }
 
 
-def canonical(record: str | None, mappings: dict[int, Mapping] = MAPPINGS) -> list[tuple[str, str]] | None:
-    """The turns (role, text) of a JSON record; None for a null record, for what isn't JSON, and for an unknown layout."""
+def parsed_record(record: str | None) -> object:
+    """The value of a JSON text; None for null, for what isn't JSON, and for what is nested too deep to be read."""
     try:
-        value = json.loads(record) if record is not None else None
-    except ValueError:
+        return json.loads(record) if record is not None else None
+    except (ValueError, RecursionError):
         return None
+
+
+def canonical(value: object, mappings: dict[int, Mapping] = MAPPINGS) -> list[tuple[str, str]] | None:
+    """The turns (role, text) of a parsed record; None for an unknown layout.
+
+    Records with the same paths may still differ in what stands there: where turns aren't a list (null counts as an empty
+    one) of objects that all have the mapped fields, the layout is unknown as well.
+    """
     found = mappings.get(fingerprint(value)) if isinstance(value, dict) else None
     if found is None:
         return None
     text = lambda x: x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
     if found.fields:
         return [(role, text(value[name])) for name, role in found.fields]
-    roles = dict(found.roles)
-    return [(roles.get(text(t[found.role]), text(t[found.role])), text(t[found.text])) for t in value[found.turns] or []]
+    turns, roles = value[found.turns] if value[found.turns] is not None else [], dict(found.roles)
+    if not isinstance(turns, list) or not all(isinstance(t, dict) and found.role in t and found.text in t for t in turns):
+        return None
+    return [(roles.get(text(t[found.role]), text(t[found.role])), text(t[found.text])) for t in turns]
 
 
 def escaped(text: str) -> str:
@@ -124,7 +141,8 @@ def parsed(text: str) -> list[tuple[str, str]]:
 def format_records(records: DataFrame, json_col: str = "record", mappings: dict[int, Mapping] = MAPPINGS) -> DataFrame:
     """``records`` with layout (the fingerprint, 16 hex digits), formatted and loss_mask.
 
-    Records of unknown layout, null ones and what isn't JSON get nulls in formatted and loss_mask; nothing is dropped.
+    Records of unknown layout, null ones and what isn't JSON get nulls in formatted and loss_mask; nothing is dropped. A
+    record that can't be read has no layout.
     Columns of ``records`` with these names give way to the operator's.
     """
     bound_batches(records.sparkSession)
@@ -134,16 +152,15 @@ def format_records(records: DataFrame, json_col: str = "record", mappings: dict[
         for batch in batches:
             rows = []
             for record in batch:
-                turns = canonical(record, mappings)
-                try:
-                    layout = f"{fingerprint(json.loads(record)):016x}" if record is not None else None
-                except ValueError:
-                    layout = None
+                value = parsed_record(record)
+                turns = canonical(value, mappings)
+                layout = f"{fingerprint(value):016x}" if value is not None else None
                 rows.append((layout, *(formatted(turns) if turns is not None else (None, None))))
             yield pd.DataFrame(rows, columns=["layout", "formatted", "loss_mask"])
 
     plain = [F.col(c) for c in records.columns if c.lower() not in ("layout", "formatted", "loss_mask")]
-    return records.withColumn("_chat", convert(F.col(json_col))).select(*plain, "_chat.*")
+    held = fresh_name(records, "_chat")
+    return records.withColumn(held, convert(F.col(json_col))).select(*plain, f"{held}.*")
 
 
 def packed(conversations: DataFrame) -> DataFrame:
@@ -186,4 +203,5 @@ def digest(formatted_records: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     back: Column = read("formatted", "loss_mask")
-    return formatted_records.where("formatted IS NOT NULL").withColumn("_read", back).select("conv_id", "_read.*", "layout")
+    held = fresh_name(formatted_records, "_read")
+    return formatted_records.where("formatted IS NOT NULL").withColumn(held, back).select("conv_id", f"{held}.*", "layout")
