@@ -4,20 +4,22 @@ Each archive begins with a skippable frame that holds a Zstandard dictionary bui
 every record follows as a frame of its own, so that single records can be read. Pages of equal payload are archived once:
 the record of the smallest id is a response, the others revisit it.
 
-Executors write archives to the shared folder under a name that follows from the partition, by renaming a finished file,
-so a task that runs again replaces its own work; Spark reads them back by their names.
+Executors write archives to the shared folder, each attempt of a task under names of its own, and tell the names in a table,
+the manifest, of which Spark commits one attempt's rows for each task. Archives are read by the manifest alone, so what
+attempts that failed or were overtaken have left is never read.
 """
 
 from __future__ import annotations
 
 import base64
-import os
+import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -122,38 +124,58 @@ def records_of(data: bytes) -> Iterator[dict[str, object]]:
         rest = rest[len(rest) - len(one.unused_data) :]
 
 
+#: Revisits that one row of the table stands for at most: a page repeated very often is spread over tasks.
+REPEATS = 10_000
+
+
+def records(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
+    """(page_id, url, digest, bytes, payload, first, answers, times) of the records to be written.
+
+    Rows that repeat a page are counted before the shuffle. Of pages of equal payload, if it isn't short, the one of the
+    smallest id (null counts as the largest, ties go by address) answers: one of its records has the payload, and only
+    there is the payload moved; all other records revisit it.
+    """
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select("page_id", "url", payload.alias("payload")).select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("bytes"))
+    small = F.col("bytes") < params.least_shared
+    keys = ["page_id", "url", "digest", "bytes", "short"]
+    kinds = rows.select(*keys[:4], F.when(small, F.col("payload")).alias("short")).groupBy(*keys).agg(F.count("*").alias("times"))
+    own = kinds.where(small).withColumnRenamed("short", "payload").withColumn("first", F.lit(None).cast("long")).withColumn("answers", F.lit(True))
+    large = kinds.where(~small).drop("short")
+    rank = F.struct(F.col("page_id").isNull(), F.col("page_id"), F.col("url").isNull(), F.col("url"))
+    heads = large.groupBy("digest").agg(F.min(rank).alias("least"), F.min("page_id").alias("first"))
+    contents = rows.where(~small).groupBy("digest").agg(F.first("payload").alias("content"))
+    met = large.join(heads, "digest").withColumn("answers", rank == F.col("least")).join(contents, "digest")
+    met = met.withColumn("payload", F.when(F.col("answers"), F.col("content"))).select(*own.columns)
+    parts = F.sequence(F.lit(0), F.floor((F.col("times") - 1) / REPEATS))
+    both = own.unionByName(met).withColumn("part", F.explode(parts))
+    times = F.least(F.col("times") - F.col("part") * REPEATS, F.lit(REPEATS))
+    return both.select("page_id", "url", "digest", "bytes", "payload", "first", (F.col("answers") & ((F.col("part") == 0) | small)).alias("answers"), times.alias("times"))
+
+
 def write(pages: DataFrame, folder: str, params: WarcParams = WarcParams()) -> DataFrame:
-    """Archive ``pages`` (page_id, url, html) in ``folder``; returns (archive, records) of what was written.
+    """Archive ``pages`` (page_id, url, html) in ``folder``; returns the manifest (archive, records) of what was written.
 
-    A null html is an empty payload. Of rows that repeat an id and a payload one is the response and the others revisit
-    it. A null id counts as the largest. Other columns are ignored; an empty table writes no archive.
+    A null html is an empty payload. Of rows that repeat an id, an address and a payload one is the response and the others
+    revisit it, if the payload isn't short. Other columns are ignored; an empty table writes no archive.
     """
     bound_batches(pages.sparkSession, 256)
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    light = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes"))
-    kinds = light.groupBy("page_id", "digest").agg(F.first("bytes").alias("bytes"), F.count("*").alias("times"))
-    firsts = kinds.where(F.col("bytes") >= params.least_shared).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("ids"), F.sum("times").alias("all")).where(F.col("all") > 1)
-    heads = kinds.join(firsts, "digest").select(F.col("page_id").alias("k_id"), F.col("digest").alias("k_digest"), "first", "times")
-    heavy = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    # a shuffle join brings rows that repeat a page into one task
-    rows = heavy.join(heads.hint("merge"), F.col("page_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")), "left")
-    rows = rows.select("page_id", "url", "payload", "digest", F.col("k_digest").isNotNull().alias("shared"), "first", F.coalesce("times", F.lit(1)).alias("times"))
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        seen: set = set()
 
         def all_records() -> Iterator[bytes]:
             for frame in frames:
-                for page_id, url, data, digest, shared, first, times in zip(*(frame[c] for c in ("page_id", "url", "payload", "digest", "shared", "first", "times"))):
+                for page_id, url, digest, size, data, first, answers, times in frame.itertuples(index=False, name=None):
                     page_id = None if pd.isna(page_id) else int(page_id)
                     first = None if pd.isna(first) else int(first)
-                    again = shared and times > 1 and (page_id, digest) in seen
-                    if shared and times > 1:
-                        seen.add((page_id, digest))
-                    revisit = shared and (page_id != first or again)
-                    yield record("revisit" if revisit else "response", page_id, url, digest, len(data), first, b"" if revisit else data)
+                    short = size < params.least_shared
+                    if answers:
+                        yield record("response", page_id, url, digest, size, None, data)
+                    again = record("response", page_id, url, digest, size, None, data) if short else record("revisit", page_id, url, digest, size, first, b"")
+                    for _ in range(times - answers):
+                        yield again
 
         source = all_records()
         for number in range(1 << 30):
@@ -171,42 +193,44 @@ def write(pages: DataFrame, folder: str, params: WarcParams = WarcParams()) -> D
                     yield data
                     data = next(source, None) if size < params.archive_bytes else None
 
-            name = f"part-{part:06d}-{number:04d}.warc.zst"
+            name = f"part-{part:06d}-{number:04d}-{attempt}.warc.zst"
             store.create_dir(root, recursive=True)
-            with store.open_output_stream(f"{root}/.{name}.{attempt}") as out:
+            with store.open_output_stream(f"{root}/{name}") as out:
                 for frame in archive(some(), params):
                     out.write(frame)
-            store.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
             yield pd.DataFrame({"archive": [name], "records": [count]})
 
-    done = rows.mapInPandas(put, "archive string, records long")
+    done = records(pages, params).mapInPandas(put, MANIFEST)
     done.write.parquet(f"{folder}/_manifest")
-    return pages.sparkSession.read.schema("archive string, records long").parquet(f"{folder}/_manifest")
+    return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
+
+
+MANIFEST = "archive string, records long"
+ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
-def read(pages_folder: str, manifest: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record in the archives."""
+def read(folder: str, manifest: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record in the manifest's archives."""
     spark = manifest.sparkSession
-    if not manifest.take(1):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
-    bound_batches(spark, 256)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(pages_folder).select("content")
+    archives = manifest.count()
+    if not archives:
+        return spark.createDataFrame([], ROWS)
 
     def number(value: str) -> int | None:
         found = value.removeprefix("<urn:page:").removesuffix(">")
         return None if found == "none" else int(found)
 
     def get(batches):
-        import hashlib
-
-        import pyarrow as pa
-
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
         for batch in batches:
-            for content in batch.column(0):
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{name}") as source:
+                    content = source.read()
                 rows = []
-                for r in records_of(content.as_py()):
+                for r in records_of(content):
                     digest, revisit = r["WARC-Payload-Digest"].removeprefix("sha256:"), r["WARC-Type"] == "revisit"
                     if not revisit and hashlib.sha256(r["payload"]).hexdigest() != digest:
                         raise ValueError("a payload isn't what its digest says")
@@ -214,12 +238,12 @@ def read(pages_folder: str, manifest: DataFrame) -> DataFrame:
                     url = base64.b64decode(url[2:]).decode("utf-8", "surrogatepass") if url.startswith("=?") else url
                     rows.append((number(r["WARC-Record-ID"]), int(r["WARC-Payload-Length"]), digest, r["WARC-Type"], number(r["WARC-Refers-To"]) if revisit else None, url))
                     if len(rows) == 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+                        yield batch_of(rows)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+                    yield batch_of(rows)
 
-    return files.mapInArrow(get, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return manifest.select("archive").repartition(min(archives, 10_000), "archive").mapInArrow(get, ROWS)
 
 
 def round_trip(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
