@@ -15,15 +15,15 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import bound_batches, fresh_name
+from spanframe.llm.common import bound_batches, fresh_name, saved
 
 TRIM = b".,;:!?\"'()[]*#%&$|<>"
 
@@ -36,7 +36,8 @@ class DecontamParams:
     repetitions: int = 48
     places: int = 2
     seed: int = 7
-    #: Items in one pass over the documents; more are searched in blocks of so many.
+    #: Items in one pass over the documents; more are searched in blocks of so many, each in a pass of its own, with the
+    #: documents and what was found so far written between, so that one block's index is in memory at a time.
     block: int = 20_000
 
 
@@ -46,7 +47,7 @@ def word_codes(text: str | None) -> np.ndarray:
     distinct = list(dict.fromkeys(words))
     number = dict(zip(distinct, range(len(distinct))))
     bare = [w.strip(TRIM) for w in distinct]
-    codes = np.array([crc32(w) for w in bare], np.uint64)
+    codes = np.array([xxhash.xxh64_intdigest(w) for w in bare], np.uint64)
     empty = np.array([not w for w in bare], bool)
     ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     return codes[ids][~empty[ids]] if len(words) else np.zeros(0, np.uint64)
@@ -193,8 +194,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for b, name in enumerate(held):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # a block at most or little more
         index = spark.sparkContext.broadcast(([(r["item_id"], r["text"]) for r in part], params))
-
         out = out.withColumn(name, _search(index)(F.col(text_col)))
+        if blocks > 1:
+            out = saved(out, "decontam-block")
+            index.destroy()
     ids = F.array_sort(F.array_distinct(F.concat(*[F.col(h)["ids"] for h in held])))
     distances = F.concat(*[F.col(h)["distances"] for h in held])
     hit = F.size(ids) > 0
