@@ -172,7 +172,7 @@ def digest(docs: DataFrame, labels: DataFrame, params: MixParams = MixParams())
 def with_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: MixParams = MixParams()) -> DataFrame:
     """``docs`` with mix_rate and mix_copies, the rate rounded up or down by the id's hash so that its mean is kept.
 
-    Documents of rate zero are left out. Columns of ``docs`` with these names give way to the operator's.
+    Documents of rate zero stay, with zero copies. Columns of ``docs`` with these names give way to the operator's.
     """
     mixed, _ = mix(docs, labels, None, id_col, text_col, params=params)
     key, text = fresh_name(docs, "_mix_id"), fresh_name(docs, "_mix_hash")
@@ -181,4 +181,4 @@ def with_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     joined = plain.join(rates, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_col)) == F.col(text)))
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) / 1_000_000
     copies = (F.floor("mix_rate") + (chance < F.col("mix_rate") - F.floor("mix_rate")).cast("long")).alias("mix_copies")
-    return joined.where("mix_rate > 0").select(*plain.columns, "mix_rate", copies)
+    return joined.select(*plain.columns, "mix_rate", copies)
