@@ -73,7 +73,7 @@ def score(token: Column) -> Column:
         n, k = F.length(word).cast("double"), F.length(letters).cast("double")
         chars = F.filter(F.split(word, ""), lambda c: c != "")
         counts = F.transform(F.array_distinct(chars), lambda c: F.length(word) - F.length(F.replace(word, c, F.lit(""))))
-        squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + (c * c).cast("double"))
+        squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
         even = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1))
         at = F.transform(chars, lambda c: F.instr(letters, c).cast("double"))
         square = lambda z: z * z
