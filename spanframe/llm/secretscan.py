@@ -119,7 +119,7 @@ def _step(token: Column) -> Column:
 
 
 def decoy(text: Column) -> Column:
-    """array<struct<class, step>> of one decoy of the text: letters of its plain words, from a place that its hash picks.
+    """array<struct<class, step, key>> of one decoy of the text: letters of its plain words, from a place that its hash picks.
 
     Empty where the plain words have fewer letters than the shortest token.
     """
@@ -130,19 +130,19 @@ def decoy(text: Column) -> Column:
         chance = lambda salt, n: F.pmod(F.xxhash64(x, F.lit(salt)), n)
         low = F.get(F.array(*[F.lit(v) for v in LENGTHS]), chance(1, _group(size) + 1).cast("int"))
         token = F.substring(x, chance(2, size - low + 1).cast("int") + 1, low)
-        made = let(token, lambda t: F.struct(_group(F.length(t)).alias("class"), _step(t).alias("step")))
-        return F.when(size >= LENGTHS[0], F.array(made)).otherwise(F.array().cast("array<struct<class:int,step:int>>"))
+        made = let(token, lambda t: F.struct(_group(F.length(t)).alias("class"), _step(t).alias("step"), F.xxhash64(t).alias("key")))
+        return F.when(size >= LENGTHS[0], F.array(made)).otherwise(F.array().cast("array<struct<class:int,step:int,key:bigint>>"))
 
     return let(letters, one)
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """struct<start, end, known, class, step> of the long tokens; known: it meets a base span."""
+    """struct<start, end, known, class, step, key> of the long tokens; known: it meets a base span."""
     text = F.coalesce(text, F.lit(""))
     wanted = F.filter(matches(text, TOKEN, text.rlike("[A-Za-z0-9+/_=-]{16}")), lambda s: s["value"].rlike("[A-Za-z]"))
 
     def one(s: Column, meets: Column) -> Column:
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), meets.alias("known"), _group(F.length(s["value"])).alias("class"), _step(s["value"]).alias("step"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), meets.alias("known"), _group(F.length(s["value"])).alias("class"), _step(s["value"]).alias("step"), F.xxhash64(s["value"]).alias("key"))
 
     return let(wanted, lambda w: marked(w, base, one))
 
@@ -177,12 +177,12 @@ def cutoffs(rows: list[tuple[int, int, int, int]], params: SecretParams) -> dict
 
 
 def fit(docs: DataFrame, text_col: str = "text", params: SecretParams = SecretParams()) -> dict[tuple[int, int], int]:
-    """The cut-offs, from the counts of all texts' tokens and decoys."""
+    """The cut-offs, from the counts of all texts' tokens and decoys; what is repeated, in copies of a text, counts once."""
     text = F.col(text_col)
-    row = lambda group, c: F.struct(c["class"].alias("class"), group.alias("group"), c["step"].alias("step"))
+    row = lambda group, c: F.struct(c["class"].alias("class"), group.alias("group"), c["step"].alias("step"), c["key"].alias("key"))
     tokens = let(base_spans(text), lambda base: F.transform(candidates(text, base), lambda c: row(F.when(c["known"], KNOWN).otherwise(OTHER), c)))
     decoys = F.transform(decoy(text), lambda c: row(F.lit(DECOY), c))
-    found = docs.select(F.explode(F.concat(tokens, decoys)).alias("c")).groupBy("c.class", "c.group", "c.step").count()
+    found = docs.select(F.explode(F.concat(tokens, decoys)).alias("c")).groupBy("c.class", "c.group", "c.step").agg(F.count_distinct("c.key"))
     return cutoffs([tuple(r) for r in found.collect()], params)  # as many rows as classes, groups and steps at most
 
 
