@@ -88,13 +88,17 @@ PART = "aeiouyAEIOUY02468"
 
 def _runs(chars: Column, n: Column) -> Column:
     """Runs of characters from one part of the alphabet, against the number expected of so many from either part."""
-    halves = F.transform(chars, lambda c: F.lit(PART).contains(c))
-    above = F.size(F.filter(halves, lambda h: h)).cast("double")
-    below = n - above
-    runs = 1 + F.size(F.filter(F.sequence(F.lit(1), F.size(halves) - 1), lambda i: F.get(halves, i) != F.get(halves, i - 1)))
-    mean = 2 * above * below / n + 1
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    return F.when(spread > 0.01, (runs - mean) / F.sqrt(spread)).otherwise(F.sqrt(n))
+
+    def told(halves: Column) -> Column:
+        above = F.size(F.filter(halves, lambda h: h)).cast("double")
+        below = n - above
+        runs = 1 + F.size(F.filter(F.sequence(F.lit(1), F.size(halves) - 1), lambda i: F.get(halves, i) != F.get(halves, i - 1)))
+        mean = 2 * above * below / n + 1
+        spread = (mean - 1) * (mean - 2) / (n - 1)
+        return F.when(spread > 0.01, (runs - mean) / F.sqrt(spread)).otherwise(F.sqrt(n))
+
+    # bound once: else each place of a long token would work out all of them
+    return let(F.transform(chars, lambda c: F.lit(PART).contains(c)), told)
 
 
 def _serial(at: Column, n: Column) -> Column:
