@@ -1,7 +1,7 @@
 """The registered queries of the training-data operators.
 
-SQL can express what op1 and op4 return (spanframe/llm/oracle.py). The others return what trained models, walks or hashes
-that SQL engines lack decide, and are tested against plain brute-force versions in tests/llm.
+SQL can express what op1, op4, op11, op12 and op13 return (spanframe/llm/oracle.py). The others return what trained models,
+walks or hashes that SQL engines lack decide, and are tested against plain brute-force versions in tests/llm.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm import chat, decontam, htmltext, mixing, oracle, pii, qualityllr, secretscan, simhash, warc, weaklabel
+from spanframe.llm import chat, decontam, htmltext, minhash, mixing, oracle, pii, prefixtrie, qualityllr, secretscan, simhash, vectorcode, warc, weaklabel
 from spanframe.llm.common import read_table
 
 
@@ -67,11 +67,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcode.digest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_warc, op2_html_text, op3_mixing, op4_chat, op5_pii, op6_weak_labels, op7_simhash, op8_secrets, op9_quality_llr, op10_decontamination)
-    }
+        for f in (
+            op1_warc, op2_html_text, op3_mixing, op4_chat, op5_pii, op6_weak_labels, op7_simhash, op8_secrets, op9_quality_llr, op10_decontamination,
+            op11_vector_codes, op12_prefix_trie, op13_minhash,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
