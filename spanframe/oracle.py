@@ -123,6 +123,7 @@ UNION ALL SELECT pid, tid, depth, 'run', round(min(x0), 4), round(max(x1), 4), c
         "j4_flow_one_id": f"{e}, {flows}, f AS (SELECT event_id AS src_event, lead(event_id) OVER w AS dst_event_id, lead(ts) OVER w - end_ts AS latency FROM fe WHERE ph IN ('s', 't', 'f') WINDOW w AS (ORDER BY event_id)) SELECT * FROM f WHERE dst_event_id IS NOT NULL",
         "x4_nested_args": f"{e} SELECT event_id, 'a.t' AS key, CAST(tid AS VARCHAR) AS value FROM e UNION ALL SELECT event_id, 'a.texts[0]', name FROM e UNION ALL SELECT event_id, 'a.texts[1]', category FROM e UNION ALL SELECT event_id, 'b[0].p', CAST(pid AS VARCHAR) FROM e",
         "s2_read_array": f"{e} SELECT name, category, ts / 1000 AS ts, dur / 1000 AS dur, pid, tid, tid AS id FROM e",
+        "s1_read_object": f"{e} SELECT name, category, ts, dur, pid, tid, tid AS id FROM e",
         "s8_metadata": f"{e} SELECT DISTINCT pid, tid, 'proc ' || pid AS process_name, 'of ' || tid AS thread_name FROM e",
         "s10_ordinals": f"{e} SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, event_id FROM e",
         "s13_tsv": "SELECT event_id || chr(9) || event_type || chr(9) || props AS value FROM events",

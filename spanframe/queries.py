@@ -330,9 +330,9 @@ def s8_metadata(spark, d):
 
 
 def s10_ordinals(spark, d):
-    """Each event's place in its file."""
+    """Each event's place in a trace of several files."""
     path = scratch.new_path(spark, "ordinals")
-    _json(_events(spark, d), F.struct("event_id").alias("args")).repartition(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    _json(_events(spark, d), F.struct("event_id").alias("args")).repartitionByRange(8, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
     events = trace_json.read_trace(spark, path).events
     return events.select(F.col("event_id").alias("place"), F.get_json_object("args", "$.event_id").cast("long").alias("event_id"))
 
@@ -404,6 +404,16 @@ def s1_read_trace(spark, d):
     return events.select("name", "category", "phase", "ts", "dur", "pid", "tid", F.get_json_object("args", "$.k").cast("double").alias("k"))
 
 
+def s1_read_object(spark, d):
+    """Object traces on one line each, a file holding several, with nested metadata before and after the events and elements that are none."""
+    path = scratch.new_path(spark, "object")
+    lines = _json(_events(spark, d)).groupBy(F.floor(F.col("event_id") / 500).alias("k")).agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("value"))
+    head, tail = '{"otherData":{"version":"1","a":[{"ph":"X"}]},"displayTimeUnit":"ms","traceEvents":[5,', ',"}{"],"stackFrames":{"1":{"name":"traceEvents"}}}'
+    lines.select(F.concat(F.lit(head), "value", F.lit(tail)).alias("value")).write.text(path)
+    events = trace_json.read_trace(spark, path).events
+    return events.select("name", "category", "ts", "dur", "pid", "tid", F.col("id").cast("long").alias("id"))
+
+
 def b10_thread_order(spark, d):
     t = _trace(spark, d)
     return overview.thread_order(t.processes, t.threads)
@@ -436,7 +446,7 @@ REGISTERED = [
     b13_name_index, b14_counter_bounds, p1_visible, p3_thread_counts, p4_search, p6_overlapping, j3_counter_asof, j4_flow_edges, j6_span_at, j7_children, j8_range_stats_many,
     w1_unique, w2_longest_instance, w3_navigation, w5_instances, q1_sql, d1_counter_buckets, d2_timeline_lod, s9_arg_counters, s13_csv, s14_trace_json, x1_format_time, x2_source,
     x3_remap_urls, x4_args, s1_read_trace, b10_thread_order, j2_names, p7_children_filtered, q3_builder_sql, w6_first_instances,
-    j3_counter_asof_all, j6_span_at_all, j4_flow_one_id, x4_nested_args, s2_read_array, s8_metadata, s10_ordinals, s13_tsv, q2_schema, l2_row_cap, l3_search_sort, l4_instance_sort,
+    j3_counter_asof_all, j6_span_at_all, j4_flow_one_id, x4_nested_args, s2_read_array, s8_metadata, s10_ordinals, s1_read_object, s13_tsv, q2_schema, l2_row_cap, l3_search_sort, l4_instance_sort,
     l5_children_sort, p2_categories, a11_metadata, j7_descendants,
 ]
 

@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spanframe.schema import RAW
+from spanframe.sources import structure
 
 PHASES = list("BEXiCbnestfPNODMR")
 
@@ -36,8 +36,7 @@ def flow_id(text: Column) -> Column:
     return F.coalesce(number.try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
 
 
-EVENTS = T.ArrayType(RAW)
-WRAPPED = T.StructType([T.StructField("traceEvents", EVENTS)])
+ELEMENTS = "array<string>"
 
 
 def _told(text: Column) -> Column:
@@ -45,72 +44,56 @@ def _told(text: Column) -> Column:
     return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
 
 
-def _events_of_line(line: Column) -> Column:
-    """The events of one line of a trace; null where the line is no part of one that can be told alone.
+def _is_event(text: Column) -> Column:
+    """Whether the text of an object has a field of an event."""
+    return F.coalesce(F.arrays_overlap(F.json_object_keys(text), F.array(*[F.lit(f.name) for f in RAW.fields])), F.lit(False))
 
+
+def events_of_line(line: Column) -> Column:
+    """The texts of the events of one line of a trace; null where the line is no part of one that can be told alone.
+
+    An object that has traceEvents holds events, whatever stands before that key; one without any field of an event is none.
     Between the brackets a line holds whole events; the first may also open the brackets and the last close them, with
-    other keys of the object before or after. Each such line becomes whole by the brackets that it lacks.
+    other keys of the object before or after. Each such line becomes whole by the brackets that it lacks. Elements that
+    aren't objects are no events.
     """
     bare = F.regexp_replace(line, r"^[\s,]+|[\s,]+$", "")
-    parsed = lambda x: F.from_json(x, EVENTS)
-    inner = lambda x: F.coalesce(F.from_json(x, WRAPPED)["traceEvents"], F.array().cast(EVENTS))
-    between, opened = F.concat(F.lit("["), bare, F.lit("]")), r'^\{\s*("[^"\\]*"\s*:\s*("[^"\\]*"|[0-9.eE+-]+|true|false|null)\s*,\s*)*"traceEvents"\s*:\s*\['
+    objects = lambda x: F.filter(F.coalesce(F.from_json(x, ELEMENTS), F.array().cast(ELEMENTS)), lambda e: e.startswith("{"))
+    inner = lambda x: objects(F.get_json_object(x, "$.traceEvents"))
+    wraps = lambda x: F.coalesce(F.array_contains(F.json_object_keys(x), "traceEvents"), F.lit(False))
+    one = F.when(wraps(bare), inner(bare)).when(_is_event(bare), F.array(bare)).otherwise(F.array().cast(ELEMENTS))
+    listed = lambda x: F.filter(objects(x), _is_event)
+    bracketed = lambda before, after: F.concat(F.lit(before), bare, F.lit(after))
     ways = [  # condition on the line, the text made whole, the events in it
-        (bare.startswith("{") & ~bare.rlike(opened), between, parsed), (bare.rlike(opened), bare, inner), (bare.rlike(opened), F.concat(bare, F.lit("]}")), inner),
-        (bare.startswith("["), bare, parsed), (bare.startswith("["), F.concat(bare, F.lit("]")), parsed),
-        (bare.rlike(r"^[{\]]") & bare.endswith("}"), F.concat(F.lit('{"traceEvents":['), bare), inner), (bare.rlike(r"^[{\]]") & bare.endswith("]"), F.concat(F.lit("["), bare), parsed),
+        (bare.startswith("{"), bare, lambda _: one), (bare.startswith("{"), bracketed("[", "]"), listed), (bare.startswith("["), bare, objects),
+        (bare.startswith("{"), bracketed("", "]}"), inner), (bare.startswith("["), bracketed("", "]"), objects),
+        (bare.rlike(r"^[{\]]") & bare.endswith("}"), bracketed('{"traceEvents":[', ""), inner), (bare.rlike(r"^[{\]]") & bare.endswith("]"), bracketed("[", ""), objects),
     ]
-    out = F.when(bare == "", F.array().cast(EVENTS))
-    for fits, whole, events in ways:
-        out = out.when(fits & _told(whole), events(whole))
+    out = F.when(bare == "", F.array().cast(ELEMENTS))
+    for k, (fits, whole, events) in enumerate(ways):
+        alone = ~F.coalesce(F.array_contains(F.transform(F.from_json(whole, ELEMENTS), wraps), True), F.lit(False)) if k == 1 else F.lit(True)
+        out = out.when(fits & _told(whole) & alone, events(whole))
     return out
 
 
-def _events_of_document(text: Column) -> Column:
-    """The events of a whole file; null for what is neither an array nor an object. An array may lack its last bracket."""
-    bare = F.regexp_replace(text, r"^[\s\x{FEFF}]+|[\s,]+$", "")
-    closed = F.concat(bare, F.lit("]"))
-    return (
-        F.when(bare == "", F.array().cast(EVENTS)).when(bare.startswith("[") & _told(bare), F.from_json(bare, EVENTS))
-        .when(bare.startswith("{") & _told(bare), F.coalesce(F.from_json(bare, WRAPPED)["traceEvents"], F.array().cast(EVENTS)))
-        .when(bare.startswith("[") & _told(closed), F.from_json(closed, EVENTS))
-    )
-
-
-def _rows(found: DataFrame, fault: str) -> DataFrame:
-    """A row for each element of ``events`` that is an object; an error where ``events`` is null."""
-    known = F.coalesce("events", F.raise_error(F.concat(F.lit(fault), F.col("file"))).cast(EVENTS))
-    rows = found.select("file", "block", "line_no", F.posexplode(known).alias("sub", "e"))
-    return rows.where("e IS NOT NULL").select("e.*", "file", "block", "line_no", "sub")
-
-
-#: Broken files are told apart by a broadcast up to so many; beyond, by a join.
-FEW_FILES = 100_000
-
-
 def read_raw(spark: SparkSession, path: str, mode: str = "auto") -> DataFrame:
-    """(RAW columns, file order as file, block, line_no, sub). mode: lines, document or auto.
+    """(RAW columns, file order as file, block, line_no, sub). mode: auto or lines.
 
-    lines: every line that isn't blank must hold whole events, several or one, and may open or close the brackets around
-    all of them; large files are split. document: each file is read as one text, by one task and up to 2 GB. auto takes
-    lines for the files in which every line can be told so, and documents for the others. No event is passed over: what
-    can't be read is an error.
+    auto takes files of any layout and splits them all, however their lines are broken (structure.cut_events). lines: every
+    line that isn't blank must hold whole events, several or one, and may open or close the brackets around all of them; such
+    files are read in one pass, without Python. No event is passed over: what can't be read is an error.
     """
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    lines = text.withColumn("line_no", F.monotonically_increasing_id()).withColumn("events", _events_of_line(F.col("value")))
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("line_no"), _events_of_document(F.col("value")).alias("events"))
-    by_line, by_file = _rows(lines, "a line isn't whole events in "), _rows(whole, "not a trace: ")
+    fault = lambda what: F.raise_error(F.concat(F.lit(what), F.col("file")))
     if mode == "lines":
-        return by_line
-    if mode == "document":
-        return by_file
-    broken = lines.where("events IS NULL").select("file").distinct()
-    count = broken.limit(FEW_FILES + 1).count()
-    if not count:
-        return by_line
-    broken = F.broadcast(broken) if count <= FEW_FILES else broken
-    some = lines.join(broken, "file", "left_anti")
-    return _rows(some, "a line isn't whole events in ").unionByName(_rows(whole.join(broken, "file", "left_semi"), "not a trace: "))
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"))
+        known = F.coalesce(events_of_line(F.col("value")), fault("a line isn't whole events in ").cast(ELEMENTS))
+        cut = lines.select("file", "block", "line_no", F.posexplode(known).alias("sub", "text"))
+    elif mode == "auto":
+        found = structure.cut_events(spark, path).withColumn("text", F.when(_told(F.col("text")), F.col("text")).otherwise(fault("not a trace: an event is no JSON in ")))
+        cut = found.where(~F.col("alone") | _is_event(F.col("text"))).select("file", "block", "line_no", F.lit(0).alias("sub"), "text")
+    else:
+        raise ValueError(f"no such mode: {mode}")
+    return cut.select(F.from_json("text", RAW).alias("e"), "file", "block", "line_no", "sub").select("e.*", "file", "block", "line_no", "sub")
 
 
 def normalise(raw: DataFrame, time_unit: str = "us") -> DataFrame:
