@@ -2,47 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.operators.filters import visible
+from spanframe.plans.nesting import ROOT
+from spanframe.plans.scratch import saved
 
-KEY = ["pid", "tid", "path"]
 #: Between a name and its category, and between the steps of a path, in path, which is for reading; keys tells paths apart.
 OF, STEP = "|", " > "
 
 
+def _keys(rows: DataFrame, hide_categories=()) -> DataFrame:
+    """(path_id, keys, vid, up): a path's visible steps, their hash, and the hash of those above its last; a row for each path.
+
+    A path knows the one above it; each round joins a path to where the round before has led, so steps double.
+    """
+    steps = F.array(F.struct("name", "category"))
+    shown = F.when(F.col("category").isin(*hide_categories), F.slice(steps, 1, 0)).otherwise(steps) if hide_categories else steps
+    above = lambda c: F.when(F.col(c) != ROOT, F.col(c))
+    known = saved(rows.groupBy("path_id").agg(F.first("above_id").alias("above_id"), F.first("name").alias("name"), F.first("category").alias("category")).select("path_id", above("above_id").alias("to"), shown.alias("keys")), "flame-paths")
+    while known.where("to IS NOT NULL").take(1):
+        ahead = known.select(F.col("path_id").alias("to"), F.col("to").alias("further"), F.col("keys").alias("before"))
+        known = saved(known.join(ahead, "to", "left").select("path_id", F.col("further").alias("to"), F.concat(F.coalesce("before", F.slice("keys", 1, 0)), "keys").alias("keys")), "flame-paths")
+    return known.select("path_id", "keys", F.xxhash64("keys").alias("vid"), F.when(F.size("keys") > 1, F.xxhash64(F.slice("keys", F.lit(1), F.size("keys") - 1))).alias("up"))
+
+
+def _uncalled(nodes: DataFrame) -> DataFrame:
+    """(pid, tid, vid, below): of the nodes without calls, the time of the called ones below with none called between; rounds double."""
+    key = ["pid", "tid", "vid"]
+    called = nodes.where("calls > 0").groupBy("pid", "tid", F.col("up").alias("vid")).agg(F.sum("own").alias("below"))
+    bare = nodes.where("calls = 0").select(*key, "up").join(called, key, "left")
+    up = nodes.where("calls = 0").select("pid", "tid", F.col("vid").alias("up"), F.lit(True).alias("bare"))
+    told = saved(bare.join(up, ["pid", "tid", "up"], "left").select(*key, F.when(F.col("bare"), F.col("up")).alias("to"), F.coalesce("below", F.lit(0.0)).alias("below")), "flame-bare")
+    while told.where("to IS NOT NULL").take(1):
+        more = told.where("to IS NOT NULL").groupBy("pid", "tid", F.col("to").alias("vid")).agg(F.sum("below").alias("more"))
+        ahead = told.select("pid", "tid", F.col("vid").alias("to"), F.col("to").alias("further"))
+        told = told.join(more, key, "left").join(ahead, ["pid", "tid", "to"], "left")
+        told = saved(told.select(*key, F.col("further").alias("to"), (F.col("below") + F.coalesce("more", F.lit(0.0))).alias("below")), "flame-bare")
+    return told.drop("to")
+
+
 def flame(spans: DataFrame, start: float, end: float, hide_pids=(), hide_tids=(), hide_categories=()) -> DataFrame:
     """(pid, tid, keys, path, level, calls, total, self_total) of the paths in [start, end].
 
     keys: the path's steps as structs of name and category; path: the same as text, which may be alike for several keys.
 
     Ancestors of hidden categories are skipped, not cut. A path without calls of its own has the sum of its children as
-    total: what its nearest called descendants have, so one grouping by prefixes takes the place of a walk up the tree.
-    Paths under a root whose total isn't positive are left out.
+    total. Paths under a root whose total isn't positive are left out. One shuffle counts the spans by thread and path
+    number; all else is work on paths, each of which is there once, and joins are by numbers.
     """
-    shown = visible(spans, hide_pids, hide_tids, hide_categories)
+    rows = visible(spans, hide_pids, hide_tids).where("in_thread")
     part = F.least("end_ts", F.lit(end)) - F.greatest("ts", F.lit(start))
-    rows = shown.where("in_thread AND phase IN ('X', 'B') AND dur > 0").where((F.col("ts") <= end) & (F.col("end_ts") >= start)).withColumn("part", part).where("part > 0")
-    above = F.filter("path", lambda p: ~p["category"].isin(*hide_categories)) if hide_categories else F.col("path")
-    keys = F.concat(F.transform(above, lambda p: F.struct(p["name"].alias("name"), p["category"].alias("category"))), F.array(F.struct("name", "category")))
-    own = rows.select("pid", "tid", keys.alias("keys"), "part").groupBy("pid", "tid", "keys").agg(F.count("*").alias("calls"), F.sum("part").alias("own"))
-    prefixes = own.select("pid", "tid", "keys", "own", F.explode(F.sequence(F.lit(1), F.size("keys"))).alias("level"))
-    prefixes = prefixes.withColumn("prefix", F.slice("keys", F.lit(1), F.col("level")))
-    called = own.select("pid", "tid", F.col("keys").alias("prefix"), "calls", F.col("own").alias("prefix_own"))
-    met = prefixes.join(called, ["pid", "tid", "prefix"], "left")
-    # a path's time counts for the uncalled prefixes above it, up to the nearest called one
-    nearest = met.where(F.col("level") < F.size("keys")).groupBy("pid", "tid", "keys").agg(F.max(F.when(F.col("calls").isNotNull(), F.col("level")).otherwise(0)).alias("nearest"))
-    met = met.join(nearest, ["pid", "tid", "keys"], "left")
-    counts = F.when(F.col("calls").isNull() & (F.col("level") > F.coalesce("nearest", F.lit(0))), F.col("own"))
-    nodes = met.groupBy("pid", "tid", "prefix").agg(F.max("calls").alias("calls"), F.max("prefix_own").alias("prefix_own"), F.sum(counts).alias("below"))
-    nodes = nodes.select("pid", "tid", "prefix", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("prefix_own", "below", F.lit(0.0)).alias("total"))
-    kids = nodes.where(F.size("prefix") > 1).groupBy("pid", "tid", F.slice("prefix", F.lit(1), F.size("prefix") - 1).alias("prefix")).agg(F.sum("total").alias("kids"))
-    out = nodes.join(kids, ["pid", "tid", "prefix"], "left")
-    told = F.array_join(F.transform("prefix", lambda p: F.concat(p["name"], F.lit(OF), p["category"])), STEP)
-    return out.where("total > 0").select(
-        "pid", "tid", F.col("prefix").alias("keys"), told.alias("path"), F.size("prefix").alias("level"), "calls", "total", F.greatest(F.lit(0.0), F.col("total") - F.coalesce("kids", F.lit(0.0))).alias("self_total")
-    )
+    counts = F.col("phase").isin("X", "B") & (F.col("dur") > 0) & (F.col("ts") <= end) & (F.col("end_ts") >= start) & (part > 0)
+    firsts = [F.first(c).alias(c) for c in ("above_id", "name", "category")]
+    found = saved(rows.groupBy("pid", "tid", "path_id").agg(*firsts, F.count(F.when(counts & _shown(hide_categories), 1)).alias("calls"), F.sum(F.when(counts & _shown(hide_categories), part)).alias("own")), "flame-found")
+    met = found.where(_shown(hide_categories)).join(_keys(found, hide_categories), "path_id")
+    nodes = met.groupBy("pid", "tid", "vid").agg(F.first("up").alias("up"), F.first("keys").alias("keys"), F.sum("calls").alias("calls"), F.coalesce(F.sum("own"), F.lit(0.0)).alias("own"))
+    nodes = saved(nodes, "flame-nodes")
+    if nodes.where("calls = 0").take(1):
+        nodes = nodes.join(_uncalled(nodes), ["pid", "tid", "vid"], "left").withColumn("total", F.when(F.col("calls") > 0, F.col("own")).otherwise(F.col("below")))
+    else:
+        nodes = nodes.withColumn("total", F.col("own"))
+    kids = nodes.where("up IS NOT NULL").groupBy("pid", "tid", F.col("up").alias("vid")).agg(F.sum("total").alias("kids"))
+    out = nodes.where("total > 0").join(kids, ["pid", "tid", "vid"], "left")
+    told = F.array_join(F.transform("keys", lambda p: F.concat(p["name"], F.lit(OF), p["category"])), STEP)
+    return out.select("pid", "tid", "keys", told.alias("path"), F.size("keys").alias("level"), "calls", "total", F.greatest(F.lit(0.0), F.col("total") - F.coalesce("kids", F.lit(0.0))).alias("self_total"))
+
+
+def _shown(hide_categories) -> Column:
+    return ~F.col("category").isin(*hide_categories) if hide_categories else F.lit(True)
 
 
 def flame_zoom(nodes: DataFrame, pid: int, tid: int, path: str | list[tuple[str, str]]) -> DataFrame:

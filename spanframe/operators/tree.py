@@ -13,19 +13,20 @@ CHILD_SORTS, NAME_SORTS = ("name", "dur", "pct"), ("name", "n", "total", "avg",
 
 def call_stack(spans: DataFrame, event_id: int) -> DataFrame:
     """(level, event_id, name) from the root to the event; empty for an id that isn't there."""
-    own = spans.where(F.col("event_id") == event_id).where("in_thread")
-    whole = F.concat("path", F.array(F.struct("event_id", "name", "category")))
-    return own.select(F.posexplode(whole).alias("level", "s")).select("level", "s.event_id", "s.name")
+    own = spans.where(F.col("event_id") == event_id).where("in_thread").select(F.col("pid").alias("_pid"), F.col("tid").alias("_tid"), F.col("seq").alias("_seq"))
+    above = spans.where("in_thread").join(F.broadcast(own), F.expr("pid = _pid AND tid = _tid AND seq <= _seq AND last_seq >= _seq"))  # the event is one row
+    return above.select(F.col("depth").alias("level"), "event_id", "name")
 
 
 def children(spans: DataFrame, event_id: int, descendants: bool = False, text: str = "") -> DataFrame:
     """Timed children, or all descendants, that end by the event's end, with their share of its duration."""
-    parent = spans.where(F.col("event_id") == event_id).select(F.col("end_ts").alias("_end"), F.col("dur").alias("_dur"))
-    under = F.exists("path", lambda p: p["event_id"] == event_id) if descendants else F.col("parent_id") == event_id
-    rows = spans.where(under & F.col("in_thread") & (F.col("dur") > 0)).join(F.broadcast(parent), F.col("end_ts") <= F.col("_end"))  # the parent is one row
+    own = spans.where(F.col("event_id") == event_id).where("in_thread")
+    parent = own.select(F.col("pid").alias("_pid"), F.col("tid").alias("_tid"), F.col("seq").alias("_seq"), F.col("last_seq").alias("_last"), F.col("end_ts").alias("_end"), F.col("dur").alias("_dur"))
+    under = F.expr("pid = _pid AND tid = _tid AND seq > _seq AND seq <= _last AND end_ts <= _end")
+    rows = spans.where("in_thread AND dur > 0").join(F.broadcast(parent), under if descendants else under & (F.col("parent_id") == event_id))  # the parent is one row
     if text:
         rows = rows.where(F.lower("name").contains(text.lower()))
-    return rows.withColumn("pct", F.try_divide(F.col("dur") * 100, F.col("_dur"))).drop("_end", "_dur")
+    return rows.withColumn("pct", F.try_divide(F.col("dur") * 100, F.col("_dur"))).drop("_pid", "_tid", "_seq", "_last", "_end", "_dur")
 
 
 def children_by_name(spans: DataFrame, event_id: int, descendants: bool = False, text: str = "") -> DataFrame:

@@ -1,35 +1,35 @@
-"""Span construction: begin/end pairing, dedup, depth, parent, call path and self time, by windows, one pass and one join.
+"""Span construction: thread order, begin/end pairing, dedup, and the tree of spans (plans/nesting.py).
 
-A span's parent is the last earlier span of its thread that hasn't ended by its start, contained or not, and its depth is
-one more than its parent's. Windows order, pair and deduplicate a thread's events; the tree is made in one pass over the
-sorted threads, which keeps only the spans that are open. Windows could tell parents too, but only a level a round, with a
-sort for each level of depth.
+Windows order, pair and deduplicate a thread's events. A thread of very many rows is cut into pieces of time, in which the
+windows run; a table of a row for each piece tells what stands in the pieces before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from spanframe.plans.nesting import THREAD, nested
+from spanframe.plans.pieces import PIECE, by_piece, counted_on, cut
 from spanframe.plans.places import placed
+from spanframe.plans.scratch import saved
 
-THREAD = ["pid", "tid"]
-PATH = "array<struct<event_id:bigint,name:string,category:string>>"
+#: The order of a thread: by start, longer first as the trace has it (the durations' negative), then event id.
+FIRST_DUR = "_first_dur"
+ORDER = ["ts", FIRST_DUR, "event_id"]
 
 
 def ordered(events: DataFrame) -> DataFrame:
     """Thread events with seq, their place by start, longer first, then event id. Counters belong to no thread."""
-    order = Window.partitionBy(*THREAD).orderBy("ts", F.desc("dur"), "event_id")
-    return events.where("phase NOT IN ('C', 'M')").withColumn("seq", F.row_number().over(order).cast("long"))
+    rows = cut(events.where("phase NOT IN ('C', 'M')"), THREAD).withColumn(FIRST_DUR, -F.col("dur"))
+    order = Window.partitionBy(*by_piece(rows, THREAD)).orderBy(*ORDER)
+    return counted_on(rows.withColumn("seq", F.row_number().over(order).cast("long")), THREAD, "seq")
 
 
 def paired(rows: DataFrame) -> DataFrame:
     """Begins take the duration up to their end, ends that have a begin get is_end. Pairing is last in, first out."""
-    thread = Window.partitionBy(*THREAD).orderBy("seq")
+    keys = by_piece(rows, THREAD)
+    thread = Window.partitionBy(*keys).orderBy(*ORDER)
     delta = F.when(F.col("phase") == "B", 1).when(F.col("phase") == "E", -1).otherwise(0)
     r = rows.withColumn("_s", F.sum(delta).over(thread.rowsBetween(Window.unboundedPreceding, 0)))
     r = r.withColumn("_low", F.least(F.lit(0), F.min("_s").over(thread.rowsBetween(Window.unboundedPreceding, 0))))
@@ -38,55 +38,68 @@ def paired(rows: DataFrame) -> DataFrame:
     both = F.col("phase").isin("B", "E") & ~lone
     level = F.when(both, F.col("_s") - F.col("_low") + F.when(F.col("phase") == "E", 1).otherwise(0))
     r = r.withColumn("_level", level)
-    same = Window.partitionBy(*THREAD, "_level").orderBy("seq")
+    same = Window.partitionBy(*keys, "_level").orderBy(*ORDER)
     r = r.withColumn("_next", F.lead("ts").over(same)).withColumn("_kind", F.lead("phase").over(same))
-    begun = F.col("_level").isNotNull() & (F.col("phase") == "B") & (F.col("_kind") == "E")
+    begun = F.coalesce(F.col("_level").isNotNull() & (F.col("phase") == "B") & (F.col("_kind") == "E"), F.lit(False))
     r = r.withColumn("dur", F.when(begun, F.col("_next") - F.col("ts")).otherwise(F.col("dur")))
-    return r.withColumn("is_end", F.col("_level").isNotNull() & (F.col("phase") == "E")).drop("_s", "_low", "_before", "_level", "_next", "_kind")
+    r = r.withColumn("is_end", F.col("_level").isNotNull() & (F.col("phase") == "E"))
+    left = (F.col("phase") == "E") & ~F.col("is_end") | (F.col("phase") == "B") & ~begun
+    r = r.withColumn("_left", left).drop("_s", "_low", "_before", "_level", "_next", "_kind")
+    return _paired_across(r).drop("_left") if PIECE in rows.columns else r.drop("_left")
+
 
+def _paired_across(rows: DataFrame) -> DataFrame:
+    """Pairs of ends and begins that their pieces left over.
 
-def deduplicated(rows: DataFrame) -> DataFrame:
-    """Of neighbours in thread order with one name and start the longest stays, the first of equals."""
-    thread = Window.partitionBy(*THREAD).orderBy("seq")
+    What a piece leaves is ends and then begins. The ends take away from the stack that the pieces before leave, the begins
+    add to it; the piece table tells how high it is, so each end and begin has a place in the stack, at which ends follow
+    begins in turn. A piece has one of each kind at a place, at most.
+    """
+    rows = saved(rows, "thread-pairs")
+    left = rows.where("_left").select(*THREAD, PIECE, "event_id", "ts", "phase", F.row_number().over(Window.partitionBy(*THREAD, PIECE, "phase").orderBy("seq")).alias("i"))
+    count = lambda p: F.count(F.when(F.col("phase") == p, 1))
+    pieces = left.groupBy(*THREAD, PIECE).agg(count("E").alias("ends"), count("B").alias("begins"))
+    order = Window.partitionBy(*THREAD).orderBy(PIECE)
+    net = F.coalesce(F.sum(F.col("begins") - F.col("ends")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.withColumn("net", net).withColumn("down", F.col("net") - F.col("ends"))
+    low = F.least(F.lit(0), F.coalesce(F.min("down").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    pieces = pieces.select(*THREAD, PIECE, "ends", (F.col("net") - low).alias("high"))
+    met = left.join(pieces, [*THREAD, PIECE]).where("phase = 'B' OR i <= high")
+    place = F.when(F.col("phase") == "B", F.greatest(F.col("high") - F.col("ends"), F.lit(0)) + F.col("i")).otherwise(F.col("high") - F.col("i") + 1)
+    turn = Window.partitionBy(*THREAD, "place").orderBy(PIECE, F.col("phase") == "B")
+    met = met.withColumn("place", place).withColumn("until", F.when((F.col("phase") == "B") & (F.lead("phase").over(turn) == "E"), F.lead("ts").over(turn)))
+    known = met.where("phase = 'E' OR until IS NOT NULL").select("event_id", F.col("until"), F.lit(True).alias("_known"))
+    r = rows.join(known, "event_id", "left")
+    r = r.withColumn("dur", F.coalesce(F.col("until") - F.col("ts"), "dur")).withColumn("is_end", F.col("is_end") | (F.col("phase") == "E") & F.col("_known").isNotNull())
+    return r.select(*rows.columns)
+
+
+def deduplicated(rows: DataFrame, by_duration: bool = False) -> DataFrame:
+    """Of neighbours in thread order with one name and start the longest stays, the first of equals.
+
+    by_duration: durations are as when the rows were ordered, so the first of neighbours is the longest. Pieces never part
+    rows of one start.
+    """
+    keys = by_piece(rows, THREAD)
+    thread = Window.partitionBy(*keys).orderBy(*ORDER)
     new = F.coalesce((F.col("name") != F.lag("name").over(thread)) | (F.col("ts") != F.lag("ts").over(thread)), F.lit(True))
+    if by_duration:
+        return rows.withColumn("in_thread", new)
     r = rows.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(thread))
-    rank = F.row_number().over(Window.partitionBy(*THREAD, "_run").orderBy(F.desc("dur"), "seq"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(F.desc("dur"), "seq"))
     return r.withColumn("in_thread", rank == 1).drop("_new", "_run")
 
 
-def nested(rows: DataFrame) -> DataFrame:
-    """``rows`` with end_ts, depth, parent_id, parent_end and path, the ancestors from the root down. Lazy; one shuffle.
+def _thread_rows(events: DataFrame) -> DataFrame:
+    """The events of threads, paired and deduplicated; a trace without begins and ends, which one look tells, has nothing to pair."""
+    rows = ordered(events)
+    if events.where("phase IN ('B', 'E')").take(1):
+        return deduplicated_all(paired(rows))
+    return deduplicated(rows.withColumn("is_end", F.lit(False)), by_duration=True)
 
-    A task streams its threads in order and holds the open spans of one thread, however long the thread is.
-    """
-    rows = rows.withColumn("end_ts", F.col("ts") + F.col("dur"))
-    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(f"depth int, parent_id bigint, parent_end double, path {PATH}").fields])
-    return rows.repartition(*THREAD).sortWithinPartitions(*THREAD, "seq").mapInArrow(_walk, schema)
-
-
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    thread, ends, above = None, [], []  # of the open spans: when they end, and what the path tells of them
-    for batch in batches:
-        depths, parents, until, offsets, steps = [], [], [], [0], []
-        columns = [batch.column(c).to_pylist() for c in ("pid", "tid", "ts", "dur", "end_ts", "event_id", "name", "category")]
-        for pid, tid, ts, dur, end, event, name, category in zip(*columns):
-            if (pid, tid) != thread:
-                thread, ends, above = (pid, tid), [], []
-            while ends and ends[-1] <= ts:
-                ends.pop()
-                above.pop()
-            depths.append(len(ends))
-            parents.append(above[-1][0] if above else None)
-            until.append(ends[-1] if ends else None)
-            steps.extend(above)
-            offsets.append(len(steps))
-            if dur > 0:
-                ends.append(end)
-                above.append((event, name, category))
-        parts = [pa.array([s[k] for s in steps], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
-        path = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, ["event_id", "name", "category"]))
-        told = [pa.array(depths, pa.int32()), pa.array(parents, pa.int64()), pa.array(until, pa.float64()), path]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*batch.schema.names, "depth", "parent_id", "parent_end", "path"])
+
+def _loose(events: DataFrame) -> DataFrame:
+    return events.where("phase = 'C'").withColumn("is_end", F.lit(False)).withColumn("in_thread", F.lit(False)).withColumn("end_ts", F.col("ts") + F.col("dur"))
 
 
 def thread_spans(events: DataFrame) -> DataFrame:
@@ -94,26 +107,22 @@ def thread_spans(events: DataFrame) -> DataFrame:
 
     Enough for what asks for times, threads and names only; one shuffle by thread.
     """
-    rows = deduplicated_all(paired(ordered(events)))
-    loose = events.where("phase = 'C'").withColumn("is_end", F.lit(False)).withColumn("in_thread", F.lit(False))
-    return rows.unionByName(loose, allowMissingColumns=True).withColumn("end_ts", F.col("ts") + F.col("dur"))
+    rows = _thread_rows(events).drop(FIRST_DUR, PIECE).withColumn("end_ts", F.col("ts") + F.col("dur"))
+    return rows.unionByName(_loose(events), allowMissingColumns=True)
 
 
 def build_spans(events: DataFrame) -> DataFrame:
-    """SPAN columns of all events but metadata. Only in_thread rows have depth, parent_id, path and self_time.
+    """SPAN columns of all events but metadata. Only in_thread rows have depth, parent_id, last_seq, path_id and self_time.
 
     Ends that close a begin, and events dropped as doubles, stay as rows with is_end or without in_thread, for operators
     that look at all events.
     """
-    rows = deduplicated_all(paired(ordered(events)))
-    thread = nested(rows.where("in_thread"))
-    inner = thread.where("dur > 0 AND end_ts <= parent_end").groupBy(F.col("parent_id").alias("event_id")).agg(F.sum("dur").alias("_children"))
-    spans = thread.drop("parent_end").join(inner, "event_id", "left")
-    own = F.when(F.col("dur") > 0, F.col("dur") - F.coalesce("_children", F.lit(0.0))).otherwise(0.0)
-    spans = spans.withColumn("self_time", own).drop("_children")
-    rest = rows.where("NOT in_thread").withColumn("end_ts", F.col("ts") + F.col("dur"))
-    loose = events.where("phase = 'C'").withColumn("is_end", F.lit(False)).withColumn("in_thread", F.lit(False)).withColumn("end_ts", F.col("ts") + F.col("dur"))
-    spans = spans.unionByName(rest, allowMissingColumns=True).unionByName(loose, allowMissingColumns=True)
+    rows = _thread_rows(events)
+    spans = nested(rows.where("in_thread"), ORDER)
+    own = F.when(F.col("dur") > 0, F.col("dur") - F.col("inner_dur")).otherwise(0.0)
+    spans = spans.withColumn("self_time", own).drop("inner_dur", FIRST_DUR, PIECE)
+    rest = rows.where("NOT in_thread").drop(FIRST_DUR, PIECE).withColumn("end_ts", F.col("ts") + F.col("dur"))
+    spans = spans.unionByName(rest, allowMissingColumns=True).unionByName(_loose(events), allowMissingColumns=True)
     return spans.withColumn("child_time", F.col("dur") - F.col("self_time")).withColumn("self_pct", F.try_divide(F.col("self_time") * 100, F.col("dur")))
 
 

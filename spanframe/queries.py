@@ -38,8 +38,7 @@ def _light(spark: SparkSession, d: str) -> DataFrame:
 
 def _busiest(spans: DataFrame) -> int:
     """The span with the most descendants, the smallest id of equals; -1 if there is none. One row comes to the driver."""
-    found = spans.where("in_thread").select(F.explode("path.event_id").alias("event_id")).groupBy("event_id").count()
-    first = found.orderBy(F.desc("count"), "event_id").limit(1).collect()
+    first = spans.where("in_thread AND last_seq > seq").orderBy(F.desc(F.col("last_seq") - F.col("seq")), "event_id").select("event_id").limit(1).collect()
     return first[0]["event_id"] if first else -1
 
 

@@ -9,4 +9,4 @@ RAW = T.StructType([T.StructField(n, t) for n, t in (
 )])
 
 EVENT_COLUMNS = ["event_id", "name", "category", "phase", "ts", "dur", "pid", "tid", "id", "args"]
-SPAN_COLUMNS = [*EVENT_COLUMNS, "end_ts", "is_end", "in_thread", "seq", "depth", "parent_id", "path", "self_time", "child_time", "self_pct"]
+SPAN_COLUMNS = [*EVENT_COLUMNS, "end_ts", "is_end", "in_thread", "seq", "depth", "parent_id", "last_seq", "path_id", "above_id", "self_time", "child_time", "self_pct"]
