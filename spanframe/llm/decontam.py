@@ -7,7 +7,9 @@ often. Enough repetitions reach the wanted recall; whatever meets an item in a b
 edit distance of the item to the best passage there.
 
 Only windows that can match are embedded: of an item cut into one more piece than the edits allowed, every matching
-passage holds a piece unchanged, so windows are set where a piece of an item occurs. That loses nothing.
+passage holds a piece unchanged, so windows are set where a piece of an item occurs. That loses nothing. A window is one of
+a place and a length, however many items would set it there: which of them it may match, the buckets tell, and of those only
+the ones go on to the edit distance whose words the passage holds, but for the edits allowed.
 """
 
 from __future__ import annotations
@@ -105,64 +107,82 @@ class Walks:
 
 
 class Index:
-    """The items: their pieces, and their buckets by length."""
+    """The distinct items: where windows are set by their pieces, and their buckets by length."""
 
     def __init__(self, items: list[tuple[int, str]], params: DecontamParams) -> None:
         self.params = params
-        self.items = [(i, c) for i, t in items if len(c := word_codes(t))]
-        self.pieces: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        by_length: dict[int, list[int]] = defaultdict(list)
-        for k, (_, codes) in enumerate(self.items):
-            by_length[len(codes)].append(k)
+        ids: dict[bytes, list[int]] = defaultdict(list)
+        for i, text in items:
+            if len(codes := word_codes(text)):
+                ids[codes.tobytes()].append(i)
+        self.ids, by_length = list(ids.values()), defaultdict(list)
+        self.pieces: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
+        for k, codes in enumerate(np.frombuffer(c, np.uint64) for c in ids):
+            by_length[len(codes)].append((k, codes))
             cuts = np.linspace(0, len(codes), self.allowed(len(codes)) + 2).astype(int)
             for a, b in zip(cuts, cuts[1:]):
-                self.pieces[int(b - a)][int(rolled(codes[a:b], int(b - a))[0])].append((k, int(a)))
+                self.pieces[int(b - a)][int(rolled(codes[a:b], int(b - a))[0])].add((len(codes), int(a)))
         self.maps = {}
         for width, found in self.pieces.items():
             seen = np.zeros(1 << 20, bool)
             seen[np.array(list(found), np.uint64) >> np.uint64(44)] = True
             self.maps[width] = seen
         self.walks = {length: Walks(length, params) for length in by_length}
-        self.buckets = {k: b for length, ks in by_length.items() for k, b in zip(ks, self.walks[length].buckets(np.array([self.items[k][1] for k in ks])))}
+        self.words, self.numbers, self.keys, self.holders = {}, {}, {}, {}
+        for length, found in by_length.items():
+            self.numbers[length], self.words[length] = [k for k, _ in found], np.array([c for _, c in found])
+            keys = self._keys(length, self.words[length])
+            order = np.argsort(keys, axis=None, kind="stable")
+            self.keys[length], self.holders[length] = keys.reshape(-1)[order], order // keys.shape[1]
 
     def allowed(self, length: int) -> int:
         return int(self.params.edits * length)
 
+    def _keys(self, length: int, windows: np.ndarray) -> np.ndarray:
+        """(window, repetition): the bucket, told apart by repetition."""
+        return self.walks[length].buckets(windows) ^ (np.arange(self.params.repetitions, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
     def windows(self, codes: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start) of the windows in which a piece of the item stands where it would in the item."""
+        """(length, start) of the windows in which a piece of an item stands where it would in the item."""
         found = set()
         for width, pieces in self.pieces.items():
             hashes = rolled(codes, width)
             for p in np.flatnonzero(self.maps[width][hashes >> np.uint64(44)]):
-                for k, offset in pieces.get(int(hashes[p]), ()):
-                    found.add((k, int(p) - offset))
+                found.update((length, int(p) - offset) for length, offset in pieces.get(int(hashes[p]), ()))
         return found
 
     def search(self, texts: list[str | None]) -> list[dict[int, int]]:
         """For each text: item id -> least edit distance, of the items that match."""
         coded = [word_codes(t) for t in texts]
         out: list[dict[int, int]] = [{} for _ in texts]
-        by_length: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for n, codes in enumerate(coded):
-            for k, start in self.windows(codes):
-                by_length[len(self.items[k][1])].append((n, k, start))
+            for length, start in sorted(self.windows(codes)):
+                by_length[length].append((n, start))
         for length, all_found in by_length.items():
+            spare = self.allowed(length)
             for at in range(0, len(all_found), 2048):
                 found = all_found[at : at + 2048]
                 windows = np.zeros((len(found), length), np.uint64)
-                for row, (n, _, start) in enumerate(found):
+                for row, (n, start) in enumerate(found):
                     a, b = max(0, start), min(len(coded[n]), start + length)
                     windows[row, a - start : b - start] = coded[n][a:b]
-                met = (self.walks[length].buckets(windows) == np.array([self.buckets[k] for _, k, _ in found])).any(axis=1)
-                for row in np.flatnonzero(met):
-                    n, k, start = found[row]
-                    item_id, item = self.items[k]
-                    if out[n].get(item_id) == 0:
-                        continue
-                    spare = self.allowed(length)
-                    distance = 0 if np.array_equal(windows[row], item) else best_passage(item, coded[n][max(0, start - spare) : max(0, start + length + spare)])
-                    if distance <= spare:
-                        out[n][item_id] = min(distance, out[n].get(item_id, distance))
+                keys = self._keys(length, windows)
+                low, high = (np.searchsorted(self.keys[length], keys, side) for side in ("left", "right"))
+                for row in np.flatnonzero((high > low).any(axis=1)):
+                    n, start = found[row]
+                    met = np.unique(np.concatenate([self.holders[length][a:b] for a, b in zip(low[row], high[row]) if b > a]))
+                    passage = coded[n][max(0, start - spare) : max(0, start + length + spare)]
+                    there = np.unique(passage)
+                    words = self.words[length][met]
+                    held = there[np.minimum(np.searchsorted(there, words), len(there) - 1)] == words if len(there) else np.zeros(words.shape, bool)
+                    for k in met[held.sum(axis=1) >= length - spare]:  # a word that isn't there takes an edit
+                        item, ids = self.words[length][k], self.ids[self.numbers[length][k]]
+                        if out[n].get(ids[0]) == 0:
+                            continue
+                        distance = 0 if np.array_equal(windows[row], item) else best_passage(item, passage)
+                        if distance <= spare:
+                            out[n] |= {i: min(distance, out[n].get(i, distance)) for i in ids}
         return out
 
 
