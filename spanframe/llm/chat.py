@@ -53,7 +53,7 @@ def paths(value: object) -> set[str]:
 
 
 def fingerprint(value: object) -> int:
-    return xxhash.xxh64_intdigest("\n".join(sorted(paths(value))))
+    return xxhash.xxh64_intdigest("\n".join(sorted(paths(value))).encode("utf-8", "surrogatepass"))
 
 
 def path_hash(*names: str) -> int:
@@ -138,11 +138,19 @@ def parsed(text: str) -> list[tuple[str, str]]:
     return turns
 
 
+def encodable(turns: list[tuple[str, str]]) -> bool:
+    """Whether the turns can be told in UTF-8: a JSON text may name half of a surrogate pair, which no text can hold."""
+    try:
+        return all(part.encode() is not None for turn in turns for part in turn)
+    except UnicodeEncodeError:
+        return False
+
+
 def format_records(records: DataFrame, json_col: str = "record", mappings: dict[int, Mapping] = MAPPINGS) -> DataFrame:
     """``records`` with layout (the fingerprint, 16 hex digits), formatted and loss_mask.
 
-    Records of unknown layout, null ones and what isn't JSON get nulls in formatted and loss_mask; nothing is dropped. A
-    record that can't be read has no layout.
+    Records of unknown layout, null ones, what isn't JSON and what names half a surrogate pair in a role or text get nulls
+    in formatted and loss_mask; nothing is dropped. A record that can't be read has no layout.
     Columns of ``records`` with these names give way to the operator's.
     """
     bound_batches(records.sparkSession)
@@ -155,7 +163,7 @@ def format_records(records: DataFrame, json_col: str = "record", mappings: dict[
                 value = parsed_record(record)
                 turns = canonical(value, mappings)
                 layout = f"{fingerprint(value):016x}" if value is not None else None
-                rows.append((layout, *(formatted(turns) if turns is not None else (None, None))))
+                rows.append((layout, *(formatted(turns) if turns is not None and encodable(turns) else (None, None))))
             yield pd.DataFrame(rows, columns=["layout", "formatted", "loss_mask"])
 
     plain = [F.col(c) for c in records.columns if c.lower() not in ("layout", "formatted", "loss_mask")]
