@@ -1,8 +1,10 @@
 """Vector codes, prefix tries and MinHash near duplicates against brute force, and their defined edge cases."""
 
 import hashlib
+import json
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -10,7 +12,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from spanframe.llm import minhash, prefixtrie, vectorcode
+from spanframe.llm import chat, decontam, htmltext, minhash, prefixtrie, vectorcode
 
 DATA = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -201,3 +203,36 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["label"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({got[k] for k in range(61)}) == 1 and len({got[k] for k in range(100, 140)}) == 1 and got[200] == got[201] and len(set(got.values())) == 3
     assert minhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_items_that_share_an_opening():
+    """20,000 items with one opening, and many with equal texts: a document takes as long as without, and every match is found."""
+    rng = random.Random(8)
+    opening = "what is the name"
+    items = [(k, f"{opening} " + " ".join(f"w{rng.randrange(4000)}" for _ in range(26))) for k in range(20_000)] + [(30_000 + k, "one two three four five six seven") for k in range(500)]
+    index = decontam.Index(items, decontam.DecontamParams())
+    words = [f"d{rng.randrange(999)}" for _ in range(140)]
+    edited = items[77][1].split()
+    for at in (9, 15, 22):
+        edited[at] = "other"
+    text = " ".join([*words, *opening.split(), *words, *edited, "one two three four five six seven"])
+    began = time.time()
+    found = index.search([text])[0]
+    assert time.time() - began < 1
+    assert found == {77: 3} | {30_000 + k: 0 for k in range(500)}
+
+
+def test_half_surrogates_get_nulls(spark):
+    rows = [(0, r'{"messages":[{"role":"user","content":"\ud800 hi"}]}'), (1, r'{"messages":[{"role":"\udfff","content":"hi"}]}'), (2, r'{"\ud800":1}'), (3, r'{"messages":[{"role":"user","content":"\ud83d\ude00"}]}')]
+    got = {r["conv_id"]: r for r in chat.format_records(spark.createDataFrame(rows, "conv_id long, record string")).collect()}
+    assert [got[k]["formatted"] is None and got[k]["loss_mask"] is None and got[k]["layout"] is not None for k in range(4)] == [True, True, True, False]
+    assert json.loads(rows[3][1])["messages"][0]["content"] in got[3]["formatted"]
+
+
+def test_elements_left_open_take_time_in_proportion():
+    took = []
+    for n in (6000, 60_000):
+        began = time.time()
+        assert htmltext.blocks("<svg>x " * n) == [(False, ("x " * n).strip())]
+        took.append(time.time() - began)
+    assert took[1] < 40 * took[0] + 1
