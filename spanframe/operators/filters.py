@@ -14,9 +14,12 @@ def visible(df: DataFrame, hide_pids=(), hide_tids=(), hide_categories=()) -> Da
     return df
 
 
-def visible_categories(df: DataFrame, show: bool) -> DataFrame:
-    """All categories shown, or none: hiding all hides every category that there is, the empty one too."""
-    return df if show else df.where(F.col("category").isNull())
+def visible_categories(df: DataFrame, show: bool, categories: DataFrame | None = None) -> DataFrame:
+    """All categories shown, or none: hiding all hides every category of the list (plans.spans.categories), the empty one too.
+
+    Events without a category, which no list has, are hidden by none.
+    """
+    return df if show else df.join(categories if categories is not None else df.select("category").distinct(), "category", "left_anti")
 
 
 def thread_counts(spans: DataFrame, threads: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanframe.plans.pieces import beside, cut
+
 #: Processes and threads are sent to all executors up to so many rows; beyond, they are joined by a shuffle.
 FEW_ROWS = 100_000
 #: Flow events that meet in one window: a flow's events are cut by so many event ids.
@@ -23,14 +25,14 @@ def with_names(df: DataFrame, processes: DataFrame, threads: DataFrame) -> DataF
 def counter_asof(counters: DataFrame, probes: DataFrame) -> DataFrame:
     """probes (pid, name, t, ...) with point_ts and value of the last point at or before t; null before the first.
 
-    Points and probes are brought together in order of time, so no probe meets more than its own place.
+    Points and probes are brought together in order of time, so no probe meets more than its own place; a long series is
+    cut into pieces, each of which takes along the last point before it.
     """
     points = counters.select("pid", "name", F.col("ts").alias("_at"), F.lit(0).alias("_kind"), F.struct("ts", "value").alias("_point"))
     asked = probes.select("pid", "name", F.col("t").alias("_at"), F.lit(1).alias("_kind"), F.struct(*probes.columns).alias("_probe"))
-    both = points.unionByName(asked, allowMissingColumns=True)
-    order = Window.partitionBy("pid", "name").orderBy("_at", "_kind", F.col("_point.value"))
-    out = both.withColumn("_found", F.last("_point", ignorenulls=True).over(order)).where("_kind = 1")
-    return out.select("_probe.*", F.col("_found.ts").alias("point_ts"), F.col("_found.value").alias("value"))
+    both = cut(points.unionByName(asked, allowMissingColumns=True).withColumn("_value", F.col("_point.value")), ["pid", "name"], "_at")
+    found = beside(both, ["pid", "name"], ["_at", "_kind", "_value"], _found=("last", "_point")).where("_kind = 1")
+    return found.select("_probe.*", F.col("_found.ts").alias("point_ts"), F.col("_found.value").alias("value"))
 
 
 def flow_edges(spans: DataFrame, start: float | None = None, end: float | None = None, hide_pids=(), hide_tids=()) -> DataFrame:
@@ -58,20 +60,31 @@ def flow_edges(spans: DataFrame, start: float | None = None, end: float | None =
     return edges.withColumn("latency", F.col("dst_ts") - F.col("src_end"))
 
 
-def span_at(spans: DataFrame, probes: DataFrame, tolerance: float = 0.0, hide_categories=(), cell: float | None = None) -> DataFrame:
+def level_of(length: Column) -> Column:
+    """The power of two that a length fits in."""
+    return F.ceil(F.log2(F.greatest(length, F.lit(1e-3)))).cast("int")
+
+
+def cells(low: Column, high: Column, level: Column) -> Column:
+    """The cells of 2 ** level that [low, high] touches."""
+    size = F.pow(F.lit(2.0), level)
+    return F.sequence(F.floor(low / size), F.floor(high / size))
+
+
+def span_at(spans: DataFrame, probes: DataFrame, tolerance: float = 0.0, hide_categories=()) -> DataFrame:
     """probes (pid, tid, depth, t) with event_id of the shortest span there, the first of equals; null for none.
 
-    Spans and probes meet by time cell, so a probe looks only at the spans that touch its cell. A cell is as long as the
-    mean span with its tolerance, unless given, so that spans touch two cells in the mean.
+    Spans and probes meet by time cell. A span's cells are as long as the power of two that it fits in, so it touches two
+    at most, however long it is; a probe looks into one cell of each length that spans have, of which there are few.
     """
     seen = spans.where("in_thread")
-    if cell is None:
-        cell = max((seen.agg(F.avg("dur")).first()[0] or 0.0) + 2 * tolerance, 1e-3)
     if hide_categories:
         seen = seen.where(~F.col("category").isin(*hide_categories))
-    low, high = F.floor((F.col("ts") - tolerance) / cell), F.floor((F.col("end_ts") + tolerance) / cell)
-    cells = seen.select("pid", "tid", "depth", "event_id", "ts", "end_ts", "dur", "seq", F.explode(F.sequence(low, high)).alias("_cell"))
-    asked = probes.withColumn("_cell", F.floor(F.col("t") / cell))
-    met = asked.join(cells, ["pid", "tid", "depth", "_cell"]).where((F.col("ts") - tolerance <= F.col("t")) & (F.col("t") <= F.col("end_ts") + tolerance))
+    low, high = F.col("ts") - tolerance, F.col("end_ts") + tolerance
+    seen = seen.select("pid", "tid", "depth", "event_id", low.alias("low"), high.alias("high"), "dur", "seq", level_of(high - low).alias("_level"))
+    levels = sorted(r[0] for r in seen.select("_level").distinct().collect())  # powers of two
+    placed = seen.withColumn("_cell", F.explode(cells(F.col("low"), F.col("high"), F.col("_level"))))
+    asked = probes.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("_cell", F.floor(F.col("t") / F.pow(F.lit(2.0), F.col("_level"))))
+    met = asked.join(placed, ["pid", "tid", "depth", "_level", "_cell"]).where("low <= t AND t <= high")
     best = met.groupBy("pid", "tid", "depth", "t").agg(F.min_by("event_id", F.struct("dur", "seq")).alias("event_id"))
     return probes.join(best, ["pid", "tid", "depth", "t"], "left")

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.operators.joins import cells, level_of
+
+#: Ranges are sent to all executors up to so many.
+FEW_RANGES = 10_000
+
 
 def _stats(rows: DataFrame, keys: list[str], length: Column) -> DataFrame:
     return rows.groupBy(*keys, "name").agg(
@@ -23,17 +28,19 @@ def range_stats(spans: DataFrame, start: float, end: float) -> DataFrame:
     return _stats(_parts(spans, F.lit(start), F.lit(end)), [], F.lit(end - start))
 
 
-def range_stats_many(spans: DataFrame, ranges: DataFrame, cell: float | None = None) -> DataFrame:
-    """range_stats of each of ranges (range_id, start, end). Spans and ranges meet by time cell, counted at the first shared.
+def range_stats_many(spans: DataFrame, ranges: DataFrame) -> DataFrame:
+    """range_stats of each of ranges (range_id, start, end). Spans and ranges meet by time cell, once for each pair.
 
-    A cell is as long as the mean range or the mean span, whichever is longer, unless given: in the mean each touches two.
+    A pair meets in cells of the power of two that the longer of the two fits in, so either touches two of them at most.
+    Ranges are sent to all executors up to FEW_RANGES, so that spans stay where they are; beyond, cells are join keys.
     """
-    covers = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    timed = spans.where("in_thread AND dur > 0")
-    if cell is None:
-        cell = max(timed.agg(F.avg("dur")).first()[0] or 0.0, ranges.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 0.0, 1e-3)
-    timed = timed.withColumn("_cell", covers("ts", "end_ts"))
-    asked = ranges.select("range_id", F.col("start").alias("_start"), F.col("end").alias("_end")).withColumn("_cell", covers("_start", "_end"))
-    met = timed.join(asked, "_cell").where(F.col("_cell") == F.floor(F.greatest("ts", "_start") / cell))
-    rows = _parts(met, F.col("_start"), F.col("_end"))
-    return _stats(rows, ["range_id"], F.col("_end") - F.col("_start"))
+    timed = spans.where("in_thread AND dur > 0").withColumn("_own", level_of(F.col("dur")))
+    asked = ranges.where("end >= start").select("range_id", F.col("start").alias("_start"), F.col("end").alias("_end"), level_of(F.col("end") - F.col("start")).alias("_other"))
+    levels = lambda df, c: F.array(*[F.lit(r[0]) for r in df.select(c).distinct().orderBy(c).collect()]).cast("array<int>")  # noqa: E731  powers of two
+    own, other = levels(timed, "_own"), levels(asked, "_other")
+    at = lambda df, c, those, low, high: df.withColumn("_level", F.explode(F.array_distinct(F.concat(F.array(c), F.filter(those, lambda k: k > F.col(c)))))).withColumn("_cell", F.explode(cells(F.col(low), F.col(high), F.col("_level"))))
+    asked = at(asked, "_other", own, "_start", "_end")
+    asked = F.broadcast(asked) if ranges.limit(FEW_RANGES + 1).count() <= FEW_RANGES else asked
+    met = at(timed, "_own", other, "ts", "end_ts").join(asked, ["_level", "_cell"]).where("_level = greatest(_own, _other)")
+    met = met.where(F.col("_cell") == F.floor(F.greatest("ts", "_start") / F.pow(F.lit(2.0), F.col("_level"))))
+    return _stats(_parts(met, F.col("_start"), F.col("_end")), ["range_id"], F.col("_end") - F.col("_start"))

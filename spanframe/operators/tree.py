@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.plans.pieces import PIECE, beside, cut
 from spanframe.plans.places import placed
 
 #: The columns by which children and children by name are sorted.
@@ -47,9 +48,10 @@ def sorted_children(rows: DataFrame, sort_by: str = "dur", ascending: bool = Fal
 def consolidate_runs(spans: DataFrame, event_id: int) -> DataFrame:
     """Descendants in thread order, neighbours of one name, depth and parent as one entry."""
     rows = children(spans, event_id, descendants=True)
-    order = Window.partitionBy("pid", "tid").orderBy("seq")
-    new = F.coalesce((F.col("name") != F.lag("name").over(order)) | (F.col("depth") != F.lag("depth").over(order)) | (F.col("parent_id") != F.lag("parent_id").over(order)), F.lit(True))
-    runs = rows.withColumn("_new", new.cast("int")).withColumn("run", F.sum("_new").over(order))
+    thread, same = ["pid", "tid"], F.struct("name", "depth", "parent_id")
+    rows = beside(cut(rows.withColumn("_same", same), thread), thread, ["seq"], _up=("lag", "_same"))
+    rows = rows.withColumn("_new", F.coalesce((F.col("_same") != F.col("_up")).cast("int"), F.lit(1)))
+    runs = beside(rows, thread, ["seq"], run=("sum", "_new")).withColumn("run", F.col("run") + F.col("_new"))
     return runs.groupBy("pid", "tid", "run").agg(
         F.min_by("event_id", "seq").alias("first_event"), F.first("name").alias("name"), F.first("depth").alias("depth"), F.count("*").alias("n"),
         F.sum("dur").alias("total"), F.sum("self_time").alias("total_self"), F.avg("dur").alias("avg"), F.avg("self_time").alias("avg_self"),
@@ -58,9 +60,8 @@ def consolidate_runs(spans: DataFrame, event_id: int) -> DataFrame:
 
 def with_navigation(spans: DataFrame) -> DataFrame:
     """Thread events with prev_sibling, next_sibling and longest_child. Roots of a thread are siblings."""
-    rows = spans.where("in_thread")
-    order = Window.partitionBy("pid", "tid", "parent_id").orderBy("seq")
-    rows = rows.withColumn("prev_sibling", F.lag("event_id").over(order)).withColumn("next_sibling", F.lead("event_id").over(order))
+    family = ["pid", "tid", "parent_id"]
+    rows = beside(cut(spans.where("in_thread"), family), family, ["seq"], prev_sibling=("lag", "event_id"), next_sibling=("lead", "event_id")).drop(PIECE)
     kids = spans.where("in_thread AND parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("event_id")).agg(F.max_by("event_id", F.struct("dur", -F.col("seq"))).alias("longest_child"))
     return rows.join(kids, "event_id", "left")
 

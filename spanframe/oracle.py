@@ -126,7 +126,16 @@ UNION ALL SELECT pid, tid, depth, 'run', round(min(x0), 4), round(max(x1), 4), c
         "s1_read_object": f"{e} SELECT name, category, ts, dur, pid, tid, tid AS id FROM e",
         "s8_metadata": f"{e} SELECT DISTINCT pid, tid, 'proc ' || pid AS process_name, 'of ' || tid AS thread_name FROM e",
         "s10_ordinals": f"{e} SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, event_id FROM e",
-        "s13_tsv": "SELECT event_id || chr(9) || event_type || chr(9) || props AS value FROM events",
+        "s13_tsv": "SELECT event_id || chr(9) || event_type || chr(9) || props AS value FROM events UNION ALL SELECT 'event_id' || chr(9) || 'name' || chr(9) || 'args'",
+        "s14_trace_file": f"""{e}, f AS (SELECT event_id, name, 'X' AS phase, ts, dur, pid, tid, CAST(json_extract_string(args, '$.k') AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS arg_name FROM e
+UNION ALL SELECT event_id + 1000000000, name, 'C', ts, 0.0, pid, tid, NULL, CAST(printf('%.6g', dur) AS DOUBLE), name FROM e)
+SELECT * REPLACE (row_number() OVER (ORDER BY event_id) - 1 AS event_id) FROM f""",
+        "p6_stored_view": f"{e}, {ORDER}, {DEDUP}, x AS (SELECT * FROM kept WHERE ts <= {START + 3.6e9} AND end_ts >= {START}) SELECT event_id, 'all' AS of FROM x UNION ALL SELECT event_id, 'one' FROM x WHERE pid = 1",
+        "q2_schema": f"""{e}, n AS (SELECT 'events' AS view, count(*) AS n FROM e UNION ALL SELECT 'processes', count(DISTINCT pid) FROM e UNION ALL SELECT 'threads', count(DISTINCT (pid, tid)) FROM e UNION ALL SELECT 'counters', count(*) FROM e),
+c(view, col, type, is_key) AS (VALUES ('events', 'event_id', 'bigint', TRUE), ('events', 'name', 'string', FALSE), ('events', 'category', 'string', FALSE), ('events', 'phase', 'string', FALSE), ('events', 'ts', 'double', FALSE), ('events', 'dur', 'double', FALSE),
+  ('events', 'pid', 'bigint', FALSE), ('events', 'tid', 'bigint', FALSE), ('events', 'id', 'decimal(20,0)', FALSE), ('events', 'args', 'string', FALSE), ('events', 'end_ts', 'double', FALSE), ('processes', 'pid', 'bigint', TRUE), ('processes', 'name', 'string', FALSE),
+  ('processes', 'sort_index', 'int', FALSE), ('threads', 'pid', 'bigint', TRUE), ('threads', 'tid', 'bigint', TRUE), ('threads', 'name', 'string', FALSE), ('threads', 'sort_index', 'int', FALSE), ('counters', 'pid', 'bigint', FALSE), ('counters', 'name', 'string', FALSE),
+  ('counters', 'ts', 'double', FALSE), ('counters', 'value', 'double', FALSE)) SELECT c.view, c.col AS "column", c.type, c.is_key, n.n AS "rows" FROM c JOIN n USING (view)""",
         "l2_row_cap": f"{e} SELECT event_id, name, (SELECT count(*) FROM e) > 100 AS truncated FROM e ORDER BY event_id LIMIT 100",
         "l3_search_sort": f"{e} SELECT event_id, name, dur, row_number() OVER (ORDER BY dur DESC, event_id) AS place FROM e WHERE contains(lower(name), 'li') OR contains(lower(category), 'li') QUALIFY place <= 50",
         "l4_instance_sort": f"{e} SELECT event_id, dur, row_number() OVER (ORDER BY ts, event_id) AS n, row_number() OVER (ORDER BY dur DESC, event_id) AS place FROM e WHERE name = 'click' AND dur > 0 QUALIFY place <= 50",
@@ -136,4 +145,4 @@ UNION ALL SELECT pid, tid, depth, 'run', round(min(x0), 4), round(max(x1), 4), c
         "j7_descendants": f"{s}, u AS ({under}) SELECT event_id, round(dur * 100 / p_dur, 6) AS pct FROM u",
         "w6_first_instances": f"{e} SELECT name, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM e WHERE dur > 0 GROUP BY name",
     }
-    return sql | {f"{name}_all": sql[name] for name in ("j3_counter_asof", "j6_span_at")}
+    return sql

@@ -37,15 +37,26 @@ def run_sql(spark: SparkSession, text: str, cap: int | None = 10_000) -> Answer:
         rows = spark.sql(text)
         if cap is None:
             return Answer(rows)
-        return Answer(rows.limit(cap), truncated=len(rows.limit(cap + 1).collect()) > cap)  # all columns are worked out, so errors show here
+        found = rows.limit(cap + 1).toArrow()  # runs once; all columns are worked out, so errors show here
+        return Answer(spark.createDataFrame(found.slice(0, cap), rows.schema), truncated=found.num_rows > cap)
     except (PySparkException, Py4JJavaError) as e:  # what can't be parsed or resolved, and what fails as it runs
         return Answer(error=str(e))
 
 
+#: The columns that tell a view's rows apart.
+KEYS = {"events": ["event_id"], "processes": ["pid"], "threads": ["tid", "pid"], "counters": []}
+
+
 def describe_views(spark: SparkSession) -> DataFrame:
-    """(view, column, type) of the registered views."""
-    rows = [(v, c.name, c.dataType) for v in VIEWS if spark.catalog.tableExists(v) for c in spark.catalog.listColumns(v)]
-    return spark.createDataFrame(rows, "view string, column string, type string")
+    """(view, column, type, is_key, rows) of the registered views; rows: how many the view has."""
+    there = [v for v in VIEWS if spark.catalog.tableExists(v)]
+    columns = [(v, c.name, c.dataType, c.name in KEYS[v]) for v in there for c in spark.catalog.listColumns(v)]
+    out = spark.createDataFrame(columns, "view string, column string, type string, is_key boolean")
+    counts = None
+    for v in there:
+        one = spark.table(v).agg(F.count("*").alias("rows")).select(F.lit(v).alias("view"), "rows")
+        counts = one if counts is None else counts.unionByName(one)
+    return out.join(F.broadcast(counts), "view") if counts is not None else out.withColumn("rows", F.lit(0).cast("long"))  # four rows at most
 
 
 def row_counts(trace: Trace) -> DataFrame:

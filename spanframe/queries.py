@@ -14,7 +14,7 @@ from spanframe.functions import columns
 from spanframe.operators import counters, filters, flame, joins, lod, overview, ranges, tree
 from spanframe.plans import spans as plan
 from spanframe.plans import scratch, sqlapi
-from spanframe.sources import adapter, sinks, trace_json
+from spanframe.sources import adapter, sinks, spanstore, trace_json
 
 #: The view that range queries take: five days of the trace, in microseconds from its epoch.
 START, END = 5 * 86_400_000_000.0, 10 * 86_400_000_000.0
@@ -182,17 +182,19 @@ def p6_overlapping(spark, d):
     return filters.overlapping(_light(spark, d), START, END).select("event_id")
 
 
+def p6_stored_view(spark, d):
+    """The spans of an hour and of an hour of one process, from stored blocks."""
+    store = spanstore.write_spans(_light(spark, d), scratch.new_path(spark, "spans"), 500)
+    hour = lambda **of: store.overlapping(START, START + 3.6e9, **of)
+    return hour().select("event_id", F.lit("all").alias("of")).unionByName(hour(pid=1).select("event_id", F.lit("one").alias("of")))
+
+
 def j3_counter_asof(spark, d):
     t = _trace(spark, d)
     probes = t.events.select("event_id", "pid", "name", (F.col("ts") + 1800000000.0).alias("t"))
     return joins.counter_asof(t.counters, probes).select("event_id", "point_ts", "value")
 
 
-def j3_counter_asof_all(spark, d):
-    """j3_counter_asof under the name that it had while that asked for fewer events."""
-    return j3_counter_asof(spark, d)
-
-
 def j4_flow_edges(spark, d):
     edges = joins.flow_edges(adapter.with_flows(_events(spark, d)), START, END, hide_tids=[3])
     return edges.select("flow_id", "src_event", "dst_event_id", "latency").withColumn("flow_id", F.col("flow_id").cast("long"))
@@ -210,11 +212,6 @@ def j6_span_at(spark, d):
     return joins.span_at(s, probes, 1000.0)
 
 
-def j6_span_at_all(spark, d):
-    """j6_span_at under the name that it had while that asked for fewer spans."""
-    return j6_span_at(spark, d)
-
-
 def j7_children(spark, d):
     s = _spans(spark, d)
     top = s.where("parent_id IS NOT NULL").select("parent_id", "event_id", "dur", "end_ts")
@@ -337,15 +334,28 @@ def s10_ordinals(spark, d):
 
 
 def s13_tsv(spark, d):
+    """The lines of a TSV, its header among them."""
     path = scratch.new_path(spark, "tsv")
     sinks.export(_events(spark, d).select("event_id", "name", "args"), path, "\t")
-    return spark.read.text(f"{path}/rows").select("value")
+    return spark.read.text(path)
+
+
+def s14_trace_file(spark, d):
+    """A trace in its envelope as one file, with counters among its events, read back with its places."""
+    path = scratch.new_path(spark, "written")
+    e = _events(spark, d)
+    points = e.select((F.col("event_id") + 1_000_000_000).alias("event_id"), "name", "category", F.lit("C").alias("phase"), "ts", F.lit(0.0).alias("dur"), "pid", "tid", "id", F.col("dur").alias("value"))
+    points = points.withColumn("args", sinks.args_json(points, "value", "name")).drop("value")
+    sinks.write_trace(e.unionByName(points), path, one_file=True)
+    back = trace_json.read_trace(spark, path).events
+    arg = lambda k: F.get_json_object("args", f"$.{k}")
+    return back.select("event_id", "name", "phase", "ts", "dur", "pid", "tid", arg("k").cast("double").alias("k"), arg("value").cast("double").alias("value"), arg("name").alias("arg_name"))
 
 
 def q2_schema(spark, d):
-    """The views' columns and types."""
+    """The views' columns, types, keys and row counts."""
     sqlapi.register(_trace(spark, d))
-    return sqlapi.describe_views(spark).select("view", "column", "type")
+    return sqlapi.describe_views(spark).select("view", "column", "type", "is_key", "rows")
 
 
 def l2_row_cap(spark, d):
@@ -379,7 +389,8 @@ def l5_children_sort(spark, d):
 def p2_categories(spark, d):
     """How many events are left when all categories are hidden, and when all are shown."""
     e = _events(spark, d)
-    count = lambda show: filters.visible_categories(e, show).agg(F.count("*").alias("n")).select(F.lit(show).alias("show"), "n")
+    hidden = plan.categories(e)
+    count = lambda show: filters.visible_categories(e, show, hidden).agg(F.count("*").alias("n")).select(F.lit(show).alias("show"), "n")
     return count(True).unionByName(count(False))
 
 
@@ -398,7 +409,7 @@ def j7_descendants(spark, d):
 
 def s1_read_trace(spark, d):
     path = scratch.new_path(spark, "trace")
-    sinks.write_trace(_events(spark, d), path)
+    sinks.write_trace(_events(spark, d), path, envelope=False)
     events = trace_json.read_trace(spark, path).events
     return events.select("name", "category", "phase", "ts", "dur", "pid", "tid", F.get_json_object("args", "$.k").cast("double").alias("k"))
 
@@ -442,10 +453,10 @@ def w6_first_instances(spark, d):
 REGISTERED = [
     hot_functions, a2_longest, a3_events_per_thread, a4_categories, a5_counters, a6_range_stats, a7_children_by_name, a8_search_stats, a9_flame, a9_flame_hidden, a10_flame_zoom,
     a11_call_rates, a12_runs, a13_overview, a14_builder, a15_row_counts, b1_thread_order, b2_pairs, b4_dedup, b5_spans, b6_max_depth, b8_call_stack, b11_bounds, b12_categories,
-    b13_name_index, b14_counter_bounds, p1_visible, p3_thread_counts, p4_search, p6_overlapping, j3_counter_asof, j4_flow_edges, j6_span_at, j7_children, j8_range_stats_many,
-    w1_unique, w2_longest_instance, w3_navigation, w5_instances, q1_sql, d1_counter_buckets, d2_timeline_lod, s9_arg_counters, s13_csv, s14_trace_json, x1_format_time, x2_source,
+    b13_name_index, b14_counter_bounds, p1_visible, p3_thread_counts, p4_search, p6_overlapping, p6_stored_view, j3_counter_asof, j4_flow_edges, j6_span_at, j7_children, j8_range_stats_many,
+    w1_unique, w2_longest_instance, w3_navigation, w5_instances, q1_sql, d1_counter_buckets, d2_timeline_lod, s9_arg_counters, s13_csv, s14_trace_json, s14_trace_file, x1_format_time, x2_source,
     x3_remap_urls, x4_args, s1_read_trace, b10_thread_order, j2_names, p7_children_filtered, q3_builder_sql, w6_first_instances,
-    j3_counter_asof_all, j6_span_at_all, j4_flow_one_id, x4_nested_args, s2_read_array, s8_metadata, s10_ordinals, s1_read_object, s13_tsv, q2_schema, l2_row_cap, l3_search_sort, l4_instance_sort,
+    j4_flow_one_id, x4_nested_args, s2_read_array, s8_metadata, s10_ordinals, s1_read_object, s13_tsv, q2_schema, l2_row_cap, l3_search_sort, l4_instance_sort,
     l5_children_sort, p2_categories, a11_metadata, j7_descendants,
 ]
 

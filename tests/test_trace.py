@@ -105,7 +105,7 @@ def test_ranges_flames_and_probes(spark):
     assert {r["name"] for r in tree.children(f, 0).collect()} == {"foo", "bar"}
     assert [r["name"] for r in tree.call_stack(f, 1).orderBy("level").collect()] == ["main", "foo"]
     probes = spark.createDataFrame([(1, 1, 1, 20.0), (1, 1, 1, 99.0)], "pid bigint, tid bigint, depth int, t double")
-    assert {r["t"]: r["event_id"] for r in joins.span_at(f, probes, cell=50.0).collect()} == {20.0: 1, 99.0: None}
+    assert {r["t"]: r["event_id"] for r in joins.span_at(f, probes).collect()} == {20.0: 1, 99.0: None}
     assert {r["kind"] for r in lod.timeline_lod(f, 0.0, 100.0, 20).collect()} == {"slice"}
 
 
@@ -136,7 +136,7 @@ def test_sql_builder_and_sinks(spark, tmp_path):
     spec = sqlapi.QuerySpec("events", ["name", ("SUM", "dur", "total")], where=[("dur", ">", 0)], group_by=["name"], having=[("total", ">", 5)], order_by=[("total", False)])
     assert [tuple(r) for r in spec.to_df({"events": e}).collect()] == [('q"q', 6.0)] == [tuple(r) for r in spark.sql(spec.to_sql().replace("HAVING total", "HAVING sum(dur)")).collect()]
     assert {r[0] for r in sinks.csv_lines(e.select("name")).collect()} == {'"a,b"', '"q""q"', "z"}
-    sinks.write_trace(e, str(tmp_path / "out"))
+    sinks.write_trace(e, str(tmp_path / "out"), one_file=True)
     back = trace_json.read_trace(spark, str(tmp_path / "out"))
     assert {r["name"] for r in back.events.collect()} == {"a,b", 'q"q', "z"}
     assert {r["view"]: r["n"] for r in sqlapi.row_counts(t).collect()}["events"] == 3

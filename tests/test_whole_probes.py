@@ -14,7 +14,7 @@ def test_counters_are_asked_for_every_event(spark):
     for e in t.events.collect():
         last = max((p for p in points.get((e["pid"], e["name"]), []) if p[0] <= e["ts"] + 1800000000.0), default=(None, None))
         want.add((e["event_id"], *last))
-    got = queries.queries()["j3_counter_asof_all"](spark, DATA).collect()
+    got = queries.queries()["j3_counter_asof"](spark, DATA).collect()
     assert len(got) == len(want) == t.events.count() and set(map(tuple, got)) == want
 
 
@@ -24,5 +24,5 @@ def test_spans_are_asked_for_every_span(spark):
     for key in {(s["pid"], s["tid"], s["depth"], s["ts"] + 60_000_000) for s in spans}:
         there = [(s["dur"], s["seq"], s["event_id"]) for s in spans if (s["pid"], s["tid"], s["depth"]) == key[:3] and s["ts"] - 1000 <= key[3] <= s["end_ts"] + 1000]
         want.add((*key, min(there)[2] if there else None))
-    got = queries.queries()["j6_span_at_all"](spark, DATA).select("pid", "tid", "depth", "t", "event_id").collect()
+    got = queries.queries()["j6_span_at"](spark, DATA).select("pid", "tid", "depth", "t", "event_id").collect()
     assert len(got) == len(want) > 900 and set(map(tuple, got)) == want
