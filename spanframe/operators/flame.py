@@ -7,24 +7,35 @@ from pyspark.sql import functions as F
 
 from spanframe.operators.filters import visible
 from spanframe.plans.nesting import ROOT
-from spanframe.plans.scratch import saved
+from spanframe.plans.scratch import saved, unsaved
 
 #: Between a name and its category, and between the steps of a path, in path, which is for reading; keys tells paths apart.
 OF, STEP = "|", " > "
 
 
+def _next(last: DataFrame, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the place of the one that it was made from."""
+    out = saved(df, name)
+    unsaved(last)
+    return out
+
+
 def _keys(rows: DataFrame, hide_categories=()) -> DataFrame:
     """(path_id, keys, vid, up): a path's visible steps, their hash, and the hash of those above its last; a row for each path.
 
-    A path knows the one above it; each round joins a path to where the round before has led, so steps double.
+    A path knows the one above it; each round joins a path to where the round before has led, so steps double. ``depth``
+    tells how many rounds that takes.
     """
     steps = F.array(F.struct("name", "category"))
     shown = F.when(F.col("category").isin(*hide_categories), F.slice(steps, 1, 0)).otherwise(steps) if hide_categories else steps
     above = lambda c: F.when(F.col(c) != ROOT, F.col(c))
-    known = saved(rows.groupBy("path_id").agg(F.first("above_id").alias("above_id"), F.first("name").alias("name"), F.first("category").alias("category")).select("path_id", above("above_id").alias("to"), shown.alias("keys")), "flame-paths")
-    while known.where("to IS NOT NULL").take(1):
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    known = rows.groupBy("path_id").agg(F.first("above_id").alias("above_id"), F.first("name").alias("name"), F.first("category").alias("category")).select("path_id", above("above_id").alias("to"), shown.alias("keys"))
+    known = saved(known, "flame-paths")
+    for _ in range(deepest.bit_length()):
         ahead = known.select(F.col("path_id").alias("to"), F.col("to").alias("further"), F.col("keys").alias("before"))
-        known = saved(known.join(ahead, "to", "left").select("path_id", F.col("further").alias("to"), F.concat(F.coalesce("before", F.slice("keys", 1, 0)), "keys").alias("keys")), "flame-paths")
+        longer = known.join(ahead, "to", "left").select("path_id", F.col("further").alias("to"), F.concat(F.coalesce("before", F.slice("keys", 1, 0)), "keys").alias("keys"))
+        known = _next(known, longer, "flame-paths")
     return known.select("path_id", "keys", F.xxhash64("keys").alias("vid"), F.when(F.size("keys") > 1, F.xxhash64(F.slice("keys", F.lit(1), F.size("keys") - 1))).alias("up"))
 
 
@@ -37,9 +48,9 @@ def _uncalled(nodes: DataFrame) -> DataFrame:
     told = saved(bare.join(up, ["pid", "tid", "up"], "left").select(*key, F.when(F.col("bare"), F.col("up")).alias("to"), F.coalesce("below", F.lit(0.0)).alias("below")), "flame-bare")
     while told.where("to IS NOT NULL").take(1):
         more = told.where("to IS NOT NULL").groupBy("pid", "tid", F.col("to").alias("vid")).agg(F.sum("below").alias("more"))
-        ahead = told.select("pid", "tid", F.col("vid").alias("to"), F.col("to").alias("further"))
+        last, ahead = told, told.select("pid", "tid", F.col("vid").alias("to"), F.col("to").alias("further"))
         told = told.join(more, key, "left").join(ahead, ["pid", "tid", "to"], "left")
-        told = saved(told.select(*key, F.col("further").alias("to"), (F.col("below") + F.coalesce("more", F.lit(0.0))).alias("below")), "flame-bare")
+        told = _next(last, told.select(*key, F.col("further").alias("to"), (F.col("below") + F.coalesce("more", F.lit(0.0))).alias("below")), "flame-bare")
     return told.drop("to")
 
 
@@ -55,9 +66,10 @@ def flame(spans: DataFrame, start: float, end: float, hide_pids=(), hide_tids=()
     rows = visible(spans, hide_pids, hide_tids).where("in_thread")
     part = F.least("end_ts", F.lit(end)) - F.greatest("ts", F.lit(start))
     counts = F.col("phase").isin("X", "B") & (F.col("dur") > 0) & (F.col("ts") <= end) & (F.col("end_ts") >= start) & (part > 0)
-    firsts = [F.first(c).alias(c) for c in ("above_id", "name", "category")]
+    firsts = [F.first(c).alias(c) for c in ("above_id", "name", "category", "depth")]
     found = saved(rows.groupBy("pid", "tid", "path_id").agg(*firsts, F.count(F.when(counts & _shown(hide_categories), 1)).alias("calls"), F.sum(F.when(counts & _shown(hide_categories), part)).alias("own")), "flame-found")
-    met = found.where(_shown(hide_categories)).join(_keys(found, hide_categories), "path_id")
+    keys = _keys(found, hide_categories)
+    met = found.where(_shown(hide_categories)).join(keys, "path_id")
     nodes = met.groupBy("pid", "tid", "vid").agg(F.first("up").alias("up"), F.first("keys").alias("keys"), F.sum("calls").alias("calls"), F.coalesce(F.sum("own"), F.lit(0.0)).alias("own"))
     nodes = saved(nodes, "flame-nodes")
     if nodes.where("calls = 0").take(1):

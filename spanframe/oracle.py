@@ -126,6 +126,7 @@ UNION ALL SELECT pid, tid, depth, 'run', round(min(x0), 4), round(max(x1), 4), c
         "s1_read_object": f"{e} SELECT name, category, ts, dur, pid, tid, tid AS id FROM e",
         "s8_metadata": f"{e} SELECT DISTINCT pid, tid, 'proc ' || pid AS process_name, 'of ' || tid AS thread_name FROM e",
         "s10_ordinals": f"{e} SELECT row_number() OVER (ORDER BY event_id) - 1 AS place, event_id FROM e",
+        "s11_generated": "SELECT 'counter of ' || i AS what, (SELECT count(*) // 50 FROM events) AS n FROM (SELECT unnest(range(4)) AS i) UNION ALL SELECT 'flows', count(*) // 10 FROM events",
         "s13_tsv": "SELECT event_id || chr(9) || event_type || chr(9) || props AS value FROM events UNION ALL SELECT 'event_id' || chr(9) || 'name' || chr(9) || 'args'",
         "s14_trace_file": f"""{e}, f AS (SELECT event_id, name, 'X' AS phase, ts, dur, pid, tid, CAST(json_extract_string(args, '$.k') AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS arg_name FROM e
 UNION ALL SELECT event_id + 1000000000, name, 'C', ts, 0.0, pid, tid, NULL, CAST(printf('%.6g', dur) AS DOUBLE), name FROM e)

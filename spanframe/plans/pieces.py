@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanframe.plans.scratch import saved
+from spanframe.plans.scratch import saved, unsaved
 
 #: The column that tells a long key's pieces apart, in order of time; UNCUT for the rows of other keys. It is there only if some key is cut.
 PIECE, UNCUT = "_piece", -1
@@ -27,6 +27,7 @@ def cut(df: DataFrame, keys: list[str], time: str = "ts", rows: int | None = Non
     long = saved(df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(time).alias("_low"), F.max(time).alias("_high")).where(F.col("_n") > rows), "long-keys")
     count = long.count()
     if not count:
+        unsaved(long)
         return df
     few = F.broadcast if count <= FEW_KEYS else lambda d: d
     slots = F.ceil(F.col("_n") / rows) * SLOTS

@@ -1,36 +1,19 @@
-"""Places of rows within a key in order of time, without a window over all of a key's rows."""
+"""Places of rows within a key in order of time, without a window over all of a long key's rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one piece of time, about; a key's rows of one piece meet in one window.
-PIECE_ROWS = 1_000_000
-#: Pieces at most.
-PIECES = 1000
+from spanframe.plans.pieces import PIECE, beside, by_piece, counted_on, cut
 
 
-def placed(df: DataFrame, key: str, time: str = "ts", row: str = "event_id", piece_rows: int = PIECE_ROWS) -> DataFrame:
+def placed(df: DataFrame, key: str, time: str = "ts", row: str = "event_id", piece_rows: int | None = None) -> DataFrame:
     """``df`` with n, the place of each row within ``key`` by time and then ``row``, and prev and next, the rows beside it.
 
-    Time is cut at quantiles into pieces; windows run within a key and a piece, and what stands in the pieces before is
-    added from a table of a row for each key and piece. Times and ``row`` must not be null.
+    Keys of very many rows are cut into pieces of time (pieces.cut). Times and ``row`` must not be null.
     """
-    count, cuts = df.agg(F.count("*"), F.percentile_approx(time, [k / PIECES for k in range(1, PIECES)], 10_000)).first()
-    pieces = min(PIECES, count // piece_rows + 1)
-    cuts = sorted({cuts[round(k * PIECES / pieces) - 1] for k in range(1, pieces)}) if cuts else []
-    piece = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(time))) if cuts else F.lit(0)
-    rows = df.withColumn("_piece", piece)
-    keys, order = [key, "_piece"], ["_piece"]
-    firsts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"), F.min_by(row, F.struct(time, row)).alias("_first"), F.max_by(row, F.struct(time, row)).alias("_last"))
-    over = Window.partitionBy(key).orderBy(*order)
-    known = firsts.select(
-        *keys, F.coalesce(F.sum("_rows").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
-        F.lag("_last").over(over).alias("_before"), F.lead("_first").over(over).alias("_after"),
-    )
-    within = Window.partitionBy(*keys).orderBy(time, row)
-    rows = rows.withColumns({"n": F.row_number().over(within), "prev": F.lag(row).over(within), "next": F.lead(row).over(within)})
-    out = rows.join(known, keys)
-    out = out.withColumns({"n": F.col("n") + F.col("_start"), "prev": F.coalesce("prev", "_before"), "next": F.coalesce("next", "_after")})
-    return out.select(*df.columns, "n", "prev", "next")
+    rows = cut(df, [key], time, piece_rows)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by_piece(rows, [key])).orderBy(time, row)).cast("long"))
+    rows = beside(counted_on(rows, [key], "n"), [key], [time, row], prev=("lag", row), next=("lead", row))
+    return rows.drop(PIECE)

@@ -14,7 +14,7 @@ from spanframe.functions import columns
 from spanframe.operators import counters, filters, flame, joins, lod, overview, ranges, tree
 from spanframe.plans import spans as plan
 from spanframe.plans import scratch, sqlapi
-from spanframe.sources import adapter, sinks, spanstore, trace_json
+from spanframe.sources import adapter, sinks, spanstore, synth, trace_json
 
 #: The view that range queries take: five days of the trace, in microseconds from its epoch.
 START, END = 5 * 86_400_000_000.0, 10 * 86_400_000_000.0
@@ -424,6 +424,15 @@ def s1_read_object(spark, d):
     return events.select("name", "category", "ts", "dur", "pid", "tid", F.col("id").cast("long").alias("id"))
 
 
+def s11_generated(spark, d):
+    """Counter points, and flows that arrive later than they leave, of a generated trace as large as the event table."""
+    rows = _events(spark, d).count()
+    made = synth.generate_trace(spark, rows, counter_points=rows // 50, flows=rows // 10)
+    points = trace_json.counters_of(made).groupBy("pid").agg(F.count("*").alias("n")).select(F.concat(F.lit("counter of "), F.col("pid").cast("string")).alias("what"), "n")
+    edges = joins.flow_edges(made).where("latency > 0 AND src_event + 1 = dst_event_id").agg(F.count("*").alias("n")).select(F.lit("flows").alias("what"), "n")
+    return points.unionByName(edges)
+
+
 def b10_thread_order(spark, d):
     t = _trace(spark, d)
     return overview.thread_order(t.processes, t.threads)
@@ -456,7 +465,7 @@ REGISTERED = [
     b13_name_index, b14_counter_bounds, p1_visible, p3_thread_counts, p4_search, p6_overlapping, p6_stored_view, j3_counter_asof, j4_flow_edges, j6_span_at, j7_children, j8_range_stats_many,
     w1_unique, w2_longest_instance, w3_navigation, w5_instances, q1_sql, d1_counter_buckets, d2_timeline_lod, s9_arg_counters, s13_csv, s14_trace_json, s14_trace_file, x1_format_time, x2_source,
     x3_remap_urls, x4_args, s1_read_trace, b10_thread_order, j2_names, p7_children_filtered, q3_builder_sql, w6_first_instances,
-    j4_flow_one_id, x4_nested_args, s2_read_array, s8_metadata, s10_ordinals, s1_read_object, s13_tsv, q2_schema, l2_row_cap, l3_search_sort, l4_instance_sort,
+    j4_flow_one_id, x4_nested_args, s2_read_array, s8_metadata, s10_ordinals, s1_read_object, s11_generated, s13_tsv, q2_schema, l2_row_cap, l3_search_sort, l4_instance_sort,
     l5_children_sort, p2_categories, a11_metadata, j7_descendants,
 ]
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from spanframe.functions import columns
 from spanframe.operators import counters, filters, joins, lod, ranges, tree
-from spanframe.plans import pieces, sqlapi
+from spanframe.plans import pieces, scratch, sqlapi
 from spanframe.plans import spans as plan
-from spanframe.sources import sinks, spanstore, trace_json
+from spanframe.sources import sinks, spanstore, synth, trace_json
 from test_trace import events
 
 
@@ -137,3 +137,23 @@ def test_lines_keys_views_and_caps(spark):
     answer = sqlapi.run_sql(spark, "SELECT event_id, args FROM events ORDER BY event_id", cap=2)
     assert answer.truncated and answer.rows.count() == 2 and answer.rows.schema["args"].dataType.simpleString() == "string"
     assert counters.call_rates(e, 1.0).count() == 3
+
+
+def test_generated_traces_have_counters_and_flows(spark):
+    t = synth.generate_trace(spark, 2000)
+    by = {r["phase"]: r["count"] for r in t.groupBy("phase").count().collect()}
+    assert by["C"] == 4000 and by["s"] == by["f"] == 500 and 600 < by["X"] < 1200
+    ids = [r[0] for r in t.select("event_id").collect()]
+    assert len(set(ids)) == len(ids)
+    points = trace_json.counters_of(t)
+    assert {(r["pid"], r["name"]): (r["points"], r["min_value"] >= 0, r["max_value"] <= 100) for r in plan.counter_bounds(points).collect()} == {(p, "counter"): (1000, True, True) for p in range(4)}
+    assert joins.flow_edges(t).where("latency > 0").count() == 500
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "_folder", lambda spark: str(tmp_path / "app"))
+    kept, gone = scratch.saved(spark.range(3), "kept"), scratch.saved(spark.range(4), "gone")
+    scratch.unsaved(gone)
+    assert kept.count() == 3 and [p.name.split("-")[0] for p in tmp_path.glob("app/*")] == ["kept"]
+    scratch.clear(spark)
+    assert not list(tmp_path.glob("app"))
