@@ -40,18 +40,18 @@ def _keys(rows: DataFrame, hide_categories=()) -> DataFrame:
 
 
 def _uncalled(nodes: DataFrame) -> DataFrame:
-    """(pid, tid, vid, below): of the nodes without calls, the time of the called ones below with none called between; rounds double."""
-    key = ["pid", "tid", "vid"]
-    called = nodes.where("calls > 0").groupBy("pid", "tid", F.col("up").alias("vid")).agg(F.sum("own").alias("below"))
-    bare = nodes.where("calls = 0").select(*key, "up").join(called, key, "left")
-    up = nodes.where("calls = 0").select("pid", "tid", F.col("vid").alias("up"), F.lit(True).alias("bare"))
-    told = saved(bare.join(up, ["pid", "tid", "up"], "left").select(*key, F.when(F.col("bare"), F.col("up")).alias("to"), F.coalesce("below", F.lit(0.0)).alias("below")), "flame-bare")
-    while told.where("to IS NOT NULL").take(1):
-        more = told.where("to IS NOT NULL").groupBy("pid", "tid", F.col("to").alias("vid")).agg(F.sum("below").alias("more"))
-        last, ahead = told, told.select("pid", "tid", F.col("vid").alias("to"), F.col("to").alias("further"))
-        told = told.join(more, key, "left").join(ahead, ["pid", "tid", "to"], "left")
-        told = _next(last, told.select(*key, F.col("further").alias("to"), (F.col("below") + F.coalesce("more", F.lit(0.0))).alias("below")), "flame-bare")
-    return told.drop("to")
+    """(pid, tid, vid, below): of the nodes without calls, the time of the called ones below with none called between.
+
+    Only called nodes right under one without calls have any to tell: each names the paths above it, by their hashes, up to
+    the nearest called one.
+    """
+    bare = nodes.where("calls = 0").select("pid", "tid", F.col("vid").alias("up"))
+    under = nodes.where("calls > 0").select("pid", "tid", F.col("vid").alias("of"), "up", "keys", "own").join(bare, ["pid", "tid", "up"], "left_semi")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("keys") - 1), lambda k: F.xxhash64(F.slice("keys", F.lit(1), k)))
+    above = under.select("pid", "tid", "of", "own", F.posexplode(prefixes).alias("level", "vid")).join(nodes.select("pid", "tid", "vid", "calls"), ["pid", "tid", "vid"])
+    chain = above.groupBy("pid", "tid", "of").agg(F.first("own").alias("own"), F.collect_list(F.struct("level", "vid")).alias("all"), F.coalesce(F.max(F.when(F.col("calls") > 0, F.col("level"))), F.lit(-1)).alias("called"))
+    told = chain.select("pid", "tid", "own", F.explode(F.filter("all", lambda a: a["level"] > F.col("called"))).alias("a"))
+    return told.groupBy("pid", "tid", F.col("a.vid").alias("vid")).agg(F.sum("own").alias("below"))
 
 
 def flame(spans: DataFrame, start: float, end: float, hide_pids=(), hide_tids=(), hide_categories=()) -> DataFrame:
