@@ -2,20 +2,24 @@
 
 Base spans (assignments, access keys, hex strings) are matches of strict patterns. Every long token, in a base span or not,
 is tested for randomness in the encoding inferred for it: how evenly it uses the alphabet (chi-squared), how often it
-changes between vowels or even digits and the rest (runs), and how a character follows from the one before (serial correlation). Each
-test gives a deviation in standard deviations, z, whose p-value falls about as exp(-z * z / 2); the tests are combined as
-Fisher's method combines p-values, by the sum of z * z. The smaller the sum, the more random the token.
-
-How random ordinary text looks by chance is read from the corpus: each document gives one decoy, a run of its plain words'
-letters of a token's length, which is tested like a token. A token's p-value is the share of decoys of its length class that
+changes between vowels or even digits and the rest (runs), and how a character follows from the one before, by serial
+correlation and by habit: whether its pairs of letters are those that the corpus's own words are made of, held against
+letters drawn at random. Each test gives a deviation in standard deviations, z, whose p-value falls about as
+exp(-z * z / 2); the tests are combined as Fisher's method combines p-values, by the sum of z * z. The smaller the sum, the
+more random the token.
+
+How random ordinary text looks by chance is read from the corpus: each document gives one decoy, a run of a token's length from
+its plain words and numbers, joined as in names, which is tested like a token. A token's p-value is the share of decoys of its length class that
 look as random. In each length class the Benjamini-Hochberg rule then picks the score up to which the share of false
 discoveries is bounded, for the tokens in base spans and for the others by themselves: the former tell what the battery
-recognises, and don't loosen the bound for the latter, of which those found random are added. Counts of scores by length
+recognises, and don't loosen the bound for the latter, of which those found random are added, if their score is also one
+that random tokens have: where words lie far from these, the rate alone would let the cut-off run into the gap. Counts of scores by length
 class, few however large the corpus, are all that is gathered.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -51,6 +55,8 @@ STEPS = 200
 class SecretParams:
     #: Bound on the share of false discoveries.
     false_share: float = 0.1
+    #: Share of random tokens that may look less random than an added token must.
+    missed: float = 1e-4
     #: Decoys that a length class needs of its own; with fewer it also takes those of the classes below.
     decoys: int = 200
 
@@ -63,8 +69,34 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(kept(0, assign), kept(1, matches(text, ACCESS, text.contains("AKIA"))), kept(2, matches(text, HEX, text.rlike("[0-9a-f]{32}")))))
 
 
-def score(token: Column) -> Column:
-    """The three tests' deviations of a token from randomness together: the root of the sum of their squares."""
+@dataclass(frozen=True)
+class Habit:
+    """How often the corpus's words have each pair of letters: hundredths of log probabilities, 26 rows of 26."""
+
+    pairs: list[int]
+
+    def by_chance(self, letters: int) -> tuple[float, float]:
+        """Mean and standard deviation of a pair drawn at random from the first so many letters."""
+        drawn = [self.pairs[a * 26 + b] for a in range(letters) for b in range(letters)]
+        mean = sum(drawn) / len(drawn)
+        return mean, math.sqrt(sum((v - mean) ** 2 for v in drawn) / len(drawn))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def habit(docs: DataFrame, text_col: str = "text") -> Habit | None:
+    """The letter pairs of all plain words of all texts; None where there are none."""
+    word = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(PLAIN), F.lit(0)))
+    words = docs.select(word.alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    pair = F.explode(F.regexp_extract_all("word", F.lit("(?=([a-z]{2}))"), F.lit(1)))
+    seen = {r["pair"]: r["n"] for r in words.select(pair.alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n")).collect()}  # 676 rows at most
+    total = sum(seen.values())
+    return Habit([round(100 * math.log((seen.get(a + b, 0) + 0.5) / (total + 338))) for a in LETTERS for b in LETTERS]) if total else None
+
+
+def score(token: Column, own: Habit | None = None) -> Column:
+    """The tests' deviations of a token from randomness together: the root of the sum of their squares. Without ``own``, the test of habit is left out."""
     bare = F.rtrim(token, F.lit("="))
     alphabet = F.coalesce(*[F.when(bare.rlike(p) if p else F.lit(True), a) for p, a in ENCODINGS])
 
@@ -77,7 +109,7 @@ def score(token: Column) -> Column:
         even = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1))
         at = F.transform(chars, lambda c: F.instr(letters, c).cast("double"))
         square = lambda z: z * z
-        return let(at, lambda a: F.sqrt(square(F.greatest(even, F.lit(0.0))) + square(_runs(chars, n)) + square(_serial(a, n))))
+        return let(at, lambda a: F.sqrt(square(F.greatest(even, F.lit(0.0))) + square(_runs(chars, n)) + square(_serial(a, n)) + square(_habitual(word, k, own))))
 
     return F.when(F.length(bare) < 8, float(STEPS)).otherwise(let(F.struct(bare.alias("word"), alphabet.alias("letters")), tested))
 
@@ -110,7 +142,31 @@ def _serial(at: Column, n: Column) -> Column:
     return F.when(spread > 1e-9, along / spread * F.sqrt(n)).otherwise(F.sqrt(n))
 
 
+def _habitual(word: Column, k: Column, own: Habit | None) -> Column:
+    """By how much a token's pairs of letters are likelier in the corpus's words than pairs drawn from its encoding's letters."""
+    if own is None:
+        return F.lit(0.0)
+    table = F.lit(own.pairs)
+    (mean16, spread16), (mean, spread) = own.by_chance(6), own.by_chance(26)
+
+    def worth(at: Column) -> Column:
+        pair = lambda i: F.when((F.get(at, i) > 0) & (F.get(at, i - 1) > 0), F.get(table, F.get(at, i - 1) * 26 + F.get(at, i) - 27))
+        return F.filter(F.transform(F.sequence(F.lit(1), F.size(at) - 1), pair), lambda v: v.isNotNull())
+
+    def told(values: Column) -> Column:
+        n = F.size(values).cast("double")
+        total = F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + v)
+        by_chance = lambda m, d: (total - n * m) / (F.sqrt(n) * max(d, 1.0))
+        return F.when(n == 0, 0.0).otherwise(F.greatest(F.when(k == 16, by_chance(mean16, spread16)).otherwise(by_chance(mean, spread)), F.lit(0.0)))
+
+    places = F.transform(F.filter(F.split(F.lower(word), ""), lambda c: c != ""), lambda c: F.instr(F.lit(LETTERS), c))
+    return let(let(places, worth), told)
+
+
+#: What a decoy's words are joined by, as in names and paths.
+JOINS = ["", "", "-", "_"]
 #: A plain word: letters that are no part of a longer token.
+NUMBERS = r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z]++|[0-9]++)(?![A-Za-z0-9+/_=-])"
 PLAIN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]++(?![0-9+/_=-])"
 
 
@@ -118,35 +174,37 @@ def _group(length: Column) -> Column:
     return sum((F.when(length >= low, 1).otherwise(0) for low in LENGTHS[1:]), F.lit(0))
 
 
-def _step(token: Column) -> Column:
-    return F.least(F.greatest(F.floor(score(token) * 10), F.lit(0)), F.lit(STEPS)).cast("int")
+def _step(token: Column, own: Habit | None) -> Column:
+    return F.least(F.greatest(F.floor(score(token, own) * 10), F.lit(0)), F.lit(STEPS)).cast("int")
 
 
-def decoy(text: Column) -> Column:
-    """array<struct<class, step, key>> of one decoy of the text: letters of its plain words, from a place that its hash picks.
+def decoy(text: Column, own: Habit | None = None) -> Column:
+    """array<struct<class, step, key>> of one decoy of the text: its plain words and numbers, joined by what its hash picks, from a place that it picks.
 
-    Empty where the plain words have fewer letters than the shortest token.
+    Empty where these have fewer characters than the shortest token.
     """
-    letters = F.array_join(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PLAIN), F.lit(0)), "")
+    words = F.array_join(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBERS), F.lit(0)), " ")
+    between = lambda w: F.get(F.array(*[F.lit(v) for v in JOINS]), F.pmod(F.xxhash64(w, F.lit(3)), F.lit(len(JOINS))).cast("int"))
+    letters = let(words, lambda w: F.replace(w, F.lit(" "), between(w)))
 
     def one(x: Column) -> Column:
         size = F.length(x)
         chance = lambda salt, n: F.pmod(F.xxhash64(x, F.lit(salt)), n)
         low = F.get(F.array(*[F.lit(v) for v in LENGTHS]), chance(1, _group(size) + 1).cast("int"))
         token = F.substring(x, chance(2, size - low + 1).cast("int") + 1, low)
-        made = let(token, lambda t: F.struct(_group(F.length(t)).alias("class"), _step(t).alias("step"), F.xxhash64(t).alias("key")))
+        made = let(token, lambda t: F.struct(_group(F.length(t)).alias("class"), _step(t, own).alias("step"), F.xxhash64(t).alias("key")))
         return F.when(size >= LENGTHS[0], F.array(made)).otherwise(F.array().cast("array<struct<class:int,step:int,key:bigint>>"))
 
     return let(letters, one)
 
 
-def candidates(text: Column, base: Column) -> Column:
+def candidates(text: Column, base: Column, own: Habit | None = None) -> Column:
     """struct<start, end, known, class, step, key> of the long tokens; known: it meets a base span."""
     text = F.coalesce(text, F.lit(""))
     wanted = F.filter(matches(text, TOKEN, text.rlike("[A-Za-z0-9+/_=-]{16}")), lambda s: s["value"].rlike("[A-Za-z]"))
 
     def one(s: Column, meets: Column) -> Column:
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), meets.alias("known"), _group(F.length(s["value"])).alias("class"), _step(s["value"]).alias("step"), F.xxhash64(s["value"]).alias("key"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), meets.alias("known"), _group(F.length(s["value"])).alias("class"), _step(s["value"], own).alias("step"), F.xxhash64(s["value"]).alias("key"))
 
     return let(wanted, lambda w: marked(w, base, one))
 
@@ -155,9 +213,16 @@ def candidates(text: Column, base: Column) -> Column:
 DECOY, KNOWN, OTHER = 0, 1, 2
 
 
+class Cuts(dict[tuple[int, int], int]):
+    """The highest score of each (length class, group), and the habit that scores are worked out with."""
+
+    habit: Habit | None = None
+
+
 def cutoffs(rows: list[tuple[int, int, int, int]], params: SecretParams) -> dict[tuple[int, int], int]:
     """rows: (class, group, step, how many). The highest step of each class at which the false share holds, for known and
-    for other tokens; -1 for none."""
+    for other tokens; -1 for none. Other tokens must also look as random as random tokens do: the sum of the squares of four
+    normal deviations exceeds x with a chance of exp(-x / 2) * (1 + x / 2)."""
     counts = [[[0] * (STEPS + 1) for _ in LENGTHS] for _ in range(3)]
     for length, group, step, n in rows:
         counts[group][length][step] += n
@@ -172,6 +237,9 @@ def cutoffs(rows: list[tuple[int, int, int, int]], params: SecretParams) -> dict
         for group in (KNOWN, OTHER):
             best, below, found, tested = -1, 0, 0, sum(counts[group][length])
             for step in range(STEPS + 1):
+                x = step * step / 100
+                if group == OTHER and math.exp(-x / 2) * (1 + x / 2) < params.missed:
+                    break
                 below += own[step]
                 found += counts[group][length][step]
                 if total and found and (below + 1) / (total + 1) * tested / found <= params.false_share:
@@ -180,14 +248,16 @@ def cutoffs(rows: list[tuple[int, int, int, int]], params: SecretParams) -> dict
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", params: SecretParams = SecretParams()) -> dict[tuple[int, int], int]:
-    """The cut-offs, from the counts of all texts' tokens and decoys; what is repeated, in copies of a text, counts once."""
-    text = F.col(text_col)
+def fit(docs: DataFrame, text_col: str = "text", params: SecretParams = SecretParams()) -> Cuts:
+    """The habit of the corpus's words, then the cut-offs, from the counts of all texts' tokens and decoys; what is repeated, in copies of a text, counts once."""
+    text, own = F.col(text_col), habit(docs, text_col)
     row = lambda group, c: F.struct(c["class"].alias("class"), group.alias("group"), c["step"].alias("step"), c["key"].alias("key"))
-    tokens = let(base_spans(text), lambda base: F.transform(candidates(text, base), lambda c: row(F.when(c["known"], KNOWN).otherwise(OTHER), c)))
-    decoys = F.transform(decoy(text), lambda c: row(F.lit(DECOY), c))
+    tokens = let(base_spans(text), lambda base: F.transform(candidates(text, base, own), lambda c: row(F.when(c["known"], KNOWN).otherwise(OTHER), c)))
+    decoys = F.transform(decoy(text, own), lambda c: row(F.lit(DECOY), c))
     found = docs.select(F.explode(F.concat(tokens, decoys)).alias("c")).groupBy("c.class", "c.group", "c.step").agg(F.count_distinct("c.key"))
-    return cutoffs([tuple(r) for r in found.collect()], params)  # as many rows as classes, groups and steps at most
+    cuts = Cuts(cutoffs([tuple(r) for r in found.collect()], params))  # as many rows as classes, groups and steps at most
+    cuts.habit = own
+    return cuts
 
 
 def located(text: Column, cuts: dict[tuple[int, int], int]) -> Column:
@@ -206,7 +276,7 @@ def located(text: Column, cuts: dict[tuple[int, int], int]) -> Column:
             added = F.transform(F.filter(judged, lambda c: c["random"] & ~c["known"]), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
             return F.struct(base.alias("base"), F.array_sort(F.concat(base, added)).alias("spans"), judged.alias("judged"))
 
-        return let(F.transform(candidates(text, base), verdict), whole)
+        return let(F.transform(candidates(text, base, getattr(cuts, "habit", None)), verdict), whole)
 
     return let(base_spans(text), told)
 
