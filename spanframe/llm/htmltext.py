@@ -4,12 +4,14 @@ A page is cut into blocks of text. Blocks inside an article or main element, oth
 and the like in it, are the page's own text. Structure leaves undecided: the blocks of a page without such an element; those
 outside it where they hold more text than it does, as beside a teaser; and paragraphs and other elements of text whose
 class is a word that may as well name what they tell (``alert``, ``search``). There the host decides: the token streams of
-a host's undecided blocks form a suffix array, cut to the depth that matters, and substrings of at least so many tokens
-that occur on several distinct pages are boilerplate, as are shorter blocks beside a page's own text that do so as a
-whole. What they cover goes, and runs of tokens that are unique stay.
-
-The suffix array is Spark's: suffixes are rows keyed by host and by a hash of their first tokens, so equal heads meet
-without a host's stream being gathered anywhere, and each page counts once for a head before the shuffle.
+a host's undecided blocks form a suffix array, and substrings of at least so many tokens that occur on several distinct
+pages are boilerplate, as are shorter blocks beside a page's own text that do so as a whole. What they cover goes, and runs
+of tokens that are unique stay.
+
+The suffix array is made by prefix doubling, by the tokens themselves: suffixes are rows, sorted by host and first tokens;
+their ranks, paired with the ranks of the suffixes so many tokens further on, sort them by twice as many, until no repeat is
+longer. Equal ranks are the runs of neighbours that share so many tokens. So no host's stream is gathered anywhere, and
+suffixes leave the array as soon as what they share stands on too few pages.
 """
 
 from __future__ import annotations
@@ -19,12 +21,11 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.llm import jaccard
-from spanframe.llm.common import bound_batches, saved
+from spanframe.llm.common import bound_batches, saved, unsaved
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 VALUE = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -57,6 +58,8 @@ DOUBT = re.compile(r"(?<!\S)(?:alert|search)(?!\S)", re.I)
 TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "alertdialog"}
 SPACE = re.compile(r"\s+")
+#: The suffix array is first sorted by strings of so many tokens; ranks take over from there.
+FIRST = 4
 
 
 def blocks(page: str | None) -> list[tuple[bool, str]]:
@@ -182,63 +185,126 @@ def host_of(url) -> F.Column:
 def without_repeats(undecided: DataFrame, tokens: int, pages_at_least: int) -> DataFrame:
     """``undecided`` (row_id, page_id, url, owns, texts) with texts rid of passages that the host repeats; own ones stay.
 
-    A suffix is a row of host and head, the hash of its first ``tokens`` tokens (_suffixes()). Pages that are copies or near
-    copies as a whole (jaccard.classes) differ in little but the passages they share, so they count once.
+    Pages that are copies or near copies as a whole (jaccard.classes) differ in little but the passages they share, so they
+    count once.
     """
-
-    @F.pandas_udf("array<long>")
-    def heads(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, owns in batches:
-            yield pd.Series([[head for _, _, head in _suffixes(t, o, tokens)] for t, o in zip(texts, owns)])
-
-    rows = saved(undecided.withColumn("host", host_of(F.col("url"))).withColumn("heads", heads("texts", "owns")), "html-suffixes")
-    streams = rows.select("row_id", F.array_join("texts", " ").alias("stream")).dropDuplicates(["row_id"])
+    pages = undecided.dropDuplicates(["row_id"]).select("row_id", host_of(F.col("url")).alias("host"), "owns", "texts")
+    streams = pages.select("row_id", F.array_join("texts", " ").alias("stream"))
     alike = saved(jaccard.classes(streams, "row_id", "stream").select(F.col("id").alias("row_id"), "class"), "html-alike")
-    suffixes = rows.select("row_id", "host", F.explode(F.array_distinct("heads")).alias("head")).distinct()
-    pages = suffixes.join(alike, "row_id").select("host", "head", "class").distinct()
-    repeated = pages.groupBy("host", "head").agg(F.count("*").alias("pages")).where(F.col("pages") >= pages_at_least).select("host", "head")
-    covered = suffixes.join(repeated, ["host", "head"]).groupBy("row_id").agg(F.collect_set("head").alias("covered"))  # at most a page's own suffixes
+    pages = saved(pages.join(alike, "row_id"), "html-undecided")
+    passages = repeats(pages, tokens, pages_at_least).unionByName(repeated_blocks(pages, tokens, pages_at_least))
+    longest = passages.groupBy("row_id", "at").agg(F.max("length").alias("length"))
+    covered = longest.groupBy("row_id").agg(F.collect_list(F.struct("at", "length")).alias("c"))  # at most a page's own suffixes
 
     @F.pandas_udf("array<string>")
-    def unique(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, owns, covered in batches:
-            yield pd.Series([_uncovered(t, o, set() if c is None else set(c), tokens) for t, o, c in zip(texts, owns, covered)])
+    def unique(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, owns, firsts, lengths in batches:
+            yield pd.Series([_uncovered(t, o, () if a is None else zip(a, n)) for t, o, a, n in zip(texts, owns, firsts, lengths)])
+
+    joined = undecided.join(covered, "row_id", "left")
+    return joined.select("row_id", "page_id", "url", unique("texts", "owns", "c.at", "c.length").alias("texts"))
+
+
+def repeats(pages: DataFrame, tokens: int, pages_at_least: int) -> DataFrame:
+    """(row_id, at, length): the suffixes of ``pages`` (row_id, host, class, owns, texts) that begin a repeated passage.
+
+    at: the suffix's first word, counted over the page's undecided blocks. length: the greatest of tokens, 2 * tokens,
+    4 * tokens and so on of its words that stand on so many distinct pages (classes) of the host; what a repeat has beyond
+    that, the suffixes after it begin.
+    """
+    depth = min(FIRST, tokens)
+
+    @F.pandas_udf("stream array<int>, at array<int>, head array<string>")
+    def heads(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, owns in batches:
+            found = [list(_suffixes(t, o, depth)) for t, o in zip(texts, owns)]
+            yield pd.DataFrame({name: [[suffix[k] for suffix in page] for page in found] for k, name in enumerate(("stream", "at", "head"))})
+
+    suffixes = pages.select("row_id", "host", "class", heads("texts", "owns").alias("s"))
+    suffixes = suffixes.select("row_id", "host", "class", F.inline(F.arrays_zip("s.stream", "s.at", "s.head")))
+    suffixes = saved(suffixes, "html-suffixes")
+    array = ranked(suffixes, ["head"], pages_at_least)
+    unsaved(suffixes)
+    found = array.where("false").select("row_id", "at", F.lit(depth).alias("length"))
+    while array.take(1):
+        if depth >= tokens:
+            found = found.unionByName(array.select("row_id", "at", F.lit(depth).alias("length")))
+        step = depth if depth >= tokens else min(depth, tokens - depth)
+        ahead = Window.partitionBy("row_id", "stream").orderBy("at").rangeBetween(step, step)
+        deeper = array.withColumn("then", F.first("rank").over(ahead)).where("then IS NOT NULL")
+        shallow, array = array, ranked(deeper, ["rank", "then"], pages_at_least)
+        if depth < tokens:
+            unsaved(shallow)
+        depth += step
+    return found
+
+
+def ranked(suffixes: DataFrame, by: list[str], pages_at_least: int) -> DataFrame:
+    """(row_id, host, class, stream, at, rank) of the suffixes in runs of the sorted array that so many classes of a host are in.
+
+    by: what the suffixes of a host are sorted by, so that ranks ascend as it does and those of a run are equal. A suffix whose
+    words as yet compared stand on fewer pages can begin no repeat, nor can one that reaches it, so it leaves the array.
+    """
+    runs = suffixes.select("host", *by, "class").distinct().groupBy("host", *by).count().where(F.col("count") >= pages_at_least)
+    ranks = saved(runs.orderBy("host", *by).select("host", *by, F.monotonically_increasing_id().alias("new")), "html-ranks")
+    array = saved(suffixes.join(ranks, ["host", *by]).select("row_id", "host", "class", "stream", "at", F.col("new").alias("rank")), "html-array")
+    unsaved(ranks)
+    return array
 
-    joined = rows.join(covered, "row_id", "left")
-    return joined.select("row_id", "page_id", "url", unique("texts", "owns", "covered").alias("texts"))
 
+def repeated_blocks(pages: DataFrame, tokens: int, pages_at_least: int) -> DataFrame:
+    """(row_id, at, length) of undecided blocks beside own ones that are too short for a repeat, but are repeated as a whole."""
 
-def _head(words: list[str]) -> int:
-    return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
+    @F.pandas_udf("at array<int>, length array<int>, block array<string>")
+    def short(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, owns in batches:
+            found = [list(_short_blocks(t, o, tokens)) for t, o in zip(texts, owns)]
+            yield pd.DataFrame({name: [[block[k] for block in page] for page in found] for k, name in enumerate(("at", "length", "block"))})
 
+    mixed = pages.where("exists(owns, o -> o)").select("row_id", "host", "class", short("texts", "owns").alias("s"))
+    blocks_of = saved(mixed.select("row_id", "host", "class", F.inline(F.arrays_zip("s.at", "s.length", "s.block"))), "html-short")
+    often = blocks_of.select("host", "block", "class").distinct().groupBy("host", "block").count().where(F.col("count") >= pages_at_least)
+    return blocks_of.join(often, ["host", "block"]).select("row_id", "at", "length")
 
-def _suffixes(texts: Iterable[str], owns: Iterable[bool], tokens: int) -> Iterator[tuple[int, int, int]]:
-    """(first word, number of words, head) of the suffixes of undecided blocks that are long enough, words counted over these blocks.
 
-    Blocks that follow each other are one stream. Beside own blocks a block too short for a suffix makes one as a whole,
-    with a line break in its head where it ends.
+def _suffixes(texts: Iterable[str], owns: Iterable[bool], depth: int) -> Iterator[tuple[int, int, str]]:
+    """(stream, first word, first ``depth`` words) of the suffixes of undecided blocks, words counted over these blocks.
+
+    Blocks that follow each other are one stream; suffixes with fewer words are left out.
     """
-    owns = list(owns)
-    beside, at = any(owns), 0
+    at = number = 0
     stream: list[str] = []
     for text, own in zip([*texts, ""], [*owns, True]):
+        if not own:
+            stream += text.split()
+            continue
+        for i in range(len(stream) - depth + 1):
+            yield number, at + i, " ".join(stream[i : i + depth])
+        at += len(stream)
+        number += 1
+        stream = []
+
+
+def _short_blocks(texts: Iterable[str], owns: Iterable[bool], tokens: int) -> Iterator[tuple[int, int, str]]:
+    """(first word, number of words, block) of undecided blocks with fewer than ``tokens`` words."""
+    at = 0
+    for text, own in zip(texts, owns):
         words = [] if own else text.split()
-        if beside and 0 < len(words) < tokens:
-            yield at + len(stream), len(words), _head([*words, "\n"])
-        stream += words
-        if own:
-            for i in range(len(stream) - tokens + 1):
-                yield at + i, tokens, _head(stream[i : i + tokens])
-            at += len(stream)
-            stream = []
+        if 0 < len(words) < tokens:
+            yield at, len(words), " ".join(words)
+        at += len(words)
 
 
-def _uncovered(texts: Iterable[str], owns: Iterable[bool], gone: set[int], tokens: int) -> list[str]:
+def _uncovered(texts: Iterable[str], owns: Iterable[bool], gone: Iterable[tuple[int, int]]) -> list[str]:
+    """The texts without the words of undecided blocks that ``gone`` (first word, number of words) covers."""
     texts, owns = list(texts), list(owns)
     stay = [True] * sum(len(t.split()) for t, own in zip(texts, owns) if not own)
-    for first, count, head in _suffixes(texts, owns, tokens) if gone else ():
-        if head in gone:
-            stay[first : first + count] = [False] * count
+    done = 0  # words before it are settled, so nested passages take no time in the square of their length
+    for first, count in sorted(gone):
+        first, upto = max(first, done), first + count
+        if first < upto:
+            stay[first:upto] = [False] * (upto - first)
+            done = upto
     out, at = [], 0
     for text, own in zip(texts, owns):
         if own:
