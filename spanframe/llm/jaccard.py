@@ -3,16 +3,16 @@
 Texts are linked where the sets of their hashed shingles have a Jaccard similarity of at least 4/5; the classes are the
 connected components. Candidates come in two ways, and every one is held against the exact similarity.
 
-SimHash fingerprints of the same shingles are searched by multi-index hashing (simhash.links). That finds copies and the
-nearest copies at once, but texts at 4/5 lie some ten bits apart, so what it leaves is completed by prefixes: two sets of
-n and m members, n at most m, share 4/9 of n + m, so in any one order of all shingles the first member that they share
+SimHash fingerprints of the same shingles are searched by multi-index hashing (simhash.links). That finds the nearest copies
+at once, and what it settles is not looked at again: only keys whose holders are still apart go on. Texts at 4/5 lie some
+ten bits apart, so what it leaves is completed by prefixes: two sets of n and m members, n at most m, share 4/9 of n + m, so in any one order of all shingles the first member that they share
 stands among the first n // 9 + 1 of the smaller and the first m // 5 + 1 of the larger: these are a set's keys, and only
 sets that share a key so are compared. The order takes shingles that a sample of the texts holds often last, which keeps
 passages that many texts share out of the keys; what the sample misses costs time and changes no result.
 
 A key shared by a cloud of near copies would give pairs in the square of its size. So first each holder of a key is
 compared with one other, the holder with the fewest members before the key, which is the cloud's middle if it has one,
-and the links found make classes; then holders of a key are compared only where their classes differ. Every pair that
+and the links found join classes; then holders of a key are compared only where their classes differ. Every pair that
 shares a key is thus in one class or compared.
 
 Most pairs compared are settled by parities: a set's members each flip one of 2,048 bits, so two sets differ in at least
@@ -111,24 +111,28 @@ def _by_fingerprint(sets: DataFrame) -> DataFrame:
 
 
 def _holders(sets: DataFrame) -> DataFrame:
-    """(key, sid, n, pos, holders, hub, hub_n, hub_pos) of the keys that several sets hold; hub: the key's set to compare with.
+    """(key, sid, n, pos, label, holders, hub, hub_n, hub_pos, hub_label) of the keys that sets of several classes hold.
 
-    Keys that the sample found often, which hot ones are among, are counted and joined, so that a hot key's holders can be
+    hub: the key's set to compare with. label: a set's class, which in ``sets`` is null where it is the set itself. Keys that the sample found often, which hot ones are among, are counted and joined, so that a hot key's holders can be
     split; all others have few holders each, which one shuffle and one sort bring together.
     """
     at = F.posexplode("keys").alias("pos", "key")
     # fewest members before the key, then the larger set, in one number; a cloud's keys mostly pick one hub, so pairs are few
     place = (F.shiftleft(F.col("pos").cast("long"), 32) - F.col("n")).alias("place")
-    often = sets.where("size(keys) > rare").select("sid", "n", "rare", at).where("pos >= rare").select("key", "sid", place)
-    picked = often.groupBy("key").agg(F.count("*").alias("holders"), F.min(F.struct("place", "sid")).alias("hub")).where("holders > 1")
-    often = often.join(picked, "key").select("key", "sid", "place", "holders", F.col("hub.sid").alias("hub"), F.col("hub.place").alias("hub_place"))
-    few = sets.select("sid", "n", "rare", at).where("pos < rare").select("key", "sid", place)
+    own = F.coalesce("label", "sid")
+    often = sets.where("size(keys) > rare").select("sid", "n", "rare", "label", at).where("pos >= rare").select("key", "sid", "label", place)
+    picked = often.groupBy("key").agg(F.count("*").alias("holders"), F.min(F.struct("place", "sid", own.alias("label"))).alias("hub"), F.min(own).alias("low"), F.max(own).alias("high"))
+    picked = picked.where("low < high").select("key", "holders", F.col("hub.sid").alias("hub"), F.col("hub.place").alias("hub_place"), F.col("hub.label").alias("hub_label"))
+    often = often.join(picked, "key")
+    few = sets.select("sid", "n", "rare", "label", at).where("pos < rare").select("key", "sid", "label", place)
     of_key, in_order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("place", "sid")
-    few = few.select("key", "sid", "place", F.count("*").over(of_key).alias("holders"), F.first("sid").over(in_order).alias("hub"), F.first("place").over(in_order).alias("hub_place"))
+    first = {"hub": F.first("sid"), "hub_place": F.first("place"), "hub_label": F.first(own)}
+    few = few.withColumns({"holders": F.count("*").over(of_key), "low": F.min(own).over(of_key), "high": F.max(own).over(of_key)} | {c: f.over(in_order) for c, f in first.items()})
+    few = few.where("low < high").drop("low", "high")
     pos = lambda c: F.shiftright(F.col(c) + F.lit(0xFFFFFFFF), 32)
     n = lambda c: (F.shiftleft(pos(c), 32) - F.col(c)).cast("int")
-    both = often.unionByName(few.where("holders > 1"))
-    return both.select("key", "sid", n("place").alias("n"), pos("place").cast("int").alias("pos"), "holders", "hub", n("hub_place").alias("hub_n"), pos("hub_place").cast("int").alias("hub_pos"))
+    ends = [n("place").alias("n"), pos("place").cast("int").alias("pos"), n("hub_place").alias("hub_n"), pos("hub_place").cast("int").alias("hub_pos")]
+    return often.unionByName(few).select("key", "sid", own.alias("label"), "holders", "hub", "hub_label", *ends)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -158,23 +162,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     sets = saved(rows.groupBy("sid").agg(F.min("id").alias("first"), *parts), "jaccard-distinct")
     whole, rows = rows, saved(rows.select("id", "text_hash", "sid"), "jaccard-ids")
     unsaved(whole)
-    held = saved(_holders(sets), "jaccard-held")
+    prints = saved(_by_fingerprint(sets).distinct(), "jaccard-near")
+    close = _compared(prints, sets, docs, id_col, text_col, words)
+    settled = components(close).select(F.col("node").alias("sid"), "label")
+    held = saved(_holders(sets.join(settled, "sid", "left")), "jaccard-held")
     #: x and y of sizes n and m with their first common member at these places can share 4/9 of both.
     near = "9 * least({0} - {1}, {2} - {3}) >= 4 * ({0} + {2})"
-    stars = held.where("sid <> hub AND " + near.format("n", "pos", "hub_n", "hub_pos")).select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
-    stars = saved(stars.unionByName(_by_fingerprint(sets)).distinct(), "jaccard-stars")
-    links = _compared(stars, sets, docs, id_col, text_col, words)
+    stars = held.where("label <> hub_label AND " + near.format("n", "pos", "hub_n", "hub_pos")).select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
+    stars = saved(stars.distinct().join(prints, ["a", "b"], "left_anti"), "jaccard-stars")
+    starred = _compared(stars, sets, docs, id_col, text_col, words)
+    links, tried = close.unionByName(starred), prints.unionByName(stars)
     labels = components(links)
-    labelled = held.where("holders > 2").join(labels, F.col("sid") == F.col("node"), "left").select("key", "pos", "sid", "n", F.coalesce("label", "sid").alias("label"))
+    labelled = held.where("holders > 2").drop("label").join(labels, F.col("sid") == F.col("node"), "left").select("key", "pos", "sid", "n", F.coalesce("label", "sid").alias("label"))
     labelled = saved(labelled, "jaccard-labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     open_keys = labelled.join(mixed, "key", "left_semi")
     smaller = open_keys.where("9 * pos <= n").select("key", F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), F.col("label").alias("label_x"))
     later = "n_x < n OR n_x = n AND x < sid"
     rest = smaller.join(open_keys, "key").where(f"({later}) AND label <> label_x AND " + near.format("n", "pos", "n_x", "pos_x"))
-    rest = rest.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = rest.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _compared(rest, sets, docs, id_col, text_col, words)
     if more.take(1):
         labels = components(links.unionByName(more))
-    unsaved(sets, held, stars, links, labelled, more)
+    unsaved(sets, prints, close, held, stars, starred, labelled, more)
     return rows.join(labels, rows.sid == labels.node, "left").select("id", "text_hash", F.coalesce("label", "sid").alias("class"))
