@@ -82,6 +82,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, t
             found = [shingles(t, words) for t in batch]
             yield pd.DataFrame({"sid": [set_id(h) for h in found], "hashes": found})
 
+    # else the join's test for null keys runs the function a second time, in a second Python worker beside each task
+    of = of.asNondeterministic()
     side = lambda a, x: sets.select(F.col("sid").alias(a), F.col("n").alias(f"n_{a}"), F.col("bits").alias(x))
     apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, m: n + m)
     pairs = pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b").where(9 * apart <= F.col("n_a") + F.col("n_b"))
