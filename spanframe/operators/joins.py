@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanframe.plans.pieces import beside, cut
+from spanframe.plans.scratch import saved
 
 #: Processes and threads are sent to all executors up to so many rows; beyond, they are joined by a shuffle.
 FEW_ROWS = 100_000
 #: Flow events that meet in one window: a flow's events are cut by so many event ids.
 FLOW_CHUNK = 1 << 20
+#: Span lengths are told apart by every so many-th power of two where probes look for them: a probe looks into a cell of each.
+LEVEL_STEP = 4
+#: The row of a timeline that a span is drawn in.
+PLACE = ["pid", "tid", "depth"]
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -72,19 +77,44 @@ def cells(low: Column, high: Column, level: Column) -> Column:
 
 
 def span_at(spans: DataFrame, probes: DataFrame, tolerance: float = 0.0, hide_categories=()) -> DataFrame:
-    """probes (pid, tid, depth, t) with event_id of the shortest span there, the first of equals; null for none.
+    """probes (pid, tid, depth, t, ...) with event_id of the shortest span there, the first of equals; null for none.
 
-    Spans and probes meet by time cell. A span's cells are as long as the power of two that it fits in, so it touches two
-    at most, however long it is; a probe looks into one cell of each length that spans have, of which there are few.
+    Spans of one depth hardly overlap: the last to start by a probe's time is all there can be if those before it have
+    ended. That is told where spans and probes stand in order of time, a long key being cut into pieces. The probes of
+    which it doesn't hold, if any, look for their spans by time cell.
     """
     seen = spans.where("in_thread")
     if hide_categories:
         seen = seen.where(~F.col("category").isin(*hide_categories))
     low, high = F.col("ts") - tolerance, F.col("end_ts") + tolerance
-    seen = seen.select("pid", "tid", "depth", "event_id", low.alias("low"), high.alias("high"), "dur", "seq", level_of(high - low).alias("_level"))
+    seen = seen.select(*PLACE, "event_id", low.alias("low"), high.alias("high"), "dur", "seq").dropna(subset=[*PLACE, "low", "high"])
+    more = [c for c in probes.columns if c not in (*PLACE, "t")]
+    starts = seen.select(*PLACE, F.col("low").alias("_at"), F.lit(0).alias("_kind"), F.col("high").alias("_until"), F.col("event_id").alias("_event"))
+    asked = probes.select(*PLACE, F.col("t").alias("_at"), F.lit(1).alias("_kind"), *more)
+    order = ["_at", "_kind", "_until", "_event"]
+    both = beside(cut(starts.unionByName(asked, allowMissingColumns=True), PLACE, "_at"), PLACE, order, _open=("max", "_until"))
+    both = beside(both.withColumn("_span", F.when(F.col("_kind") == 0, F.struct("_event", "_until", "_open"))), PLACE, order, _last=("last", "_span"))
+    sure = F.coalesce(F.col("_last._open") < F.col("_at"), F.lit(True))
+    there = F.when(F.col("_last._until") >= F.col("_at"), F.col("_last._event"))
+    asked_as = [F.col(c).cast(probes.schema[name].dataType).alias(name) for c, name in zip([*PLACE, "_at"], [*PLACE, "t"])]
+    found = saved(both.where("_kind = 1").select(*asked_as, *more, there.alias("event_id"), sure.alias("_sure")), "spans-at")
+    rest = found.where("NOT _sure").drop("_sure", "event_id")
+    if not rest.take(1):
+        return found.drop("_sure")
+    best = _shortest_by_cells(seen, rest.select(*PLACE, "t").distinct())
+    return found.where("_sure").drop("_sure").unionByName(rest.join(best.hint("merge"), [*PLACE, "t"], "left"))
+
+
+def _shortest_by_cells(seen: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (pid, tid, depth, t) that some of ``seen`` (.., low, high) is at, with event_id of the shortest.
+
+    A span's cells are as long as the next of every LEVEL_STEP-th power of two that it fits in, so it touches two at most,
+    however long it is; a probe looks into one cell of each length that spans have, of which there are few. Neither side
+    may be taken for small by what Spark estimates of it, which leaves out the cells: they are joined by a shuffle.
+    """
+    seen = seen.withColumn("_level", (F.ceil(level_of(F.col("high") - F.col("low")) / LEVEL_STEP) * LEVEL_STEP).cast("int"))
     levels = sorted(r[0] for r in seen.select("_level").distinct().collect())  # powers of two
     placed = seen.withColumn("_cell", F.explode(cells(F.col("low"), F.col("high"), F.col("_level"))))
     asked = probes.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("_cell", F.floor(F.col("t") / F.pow(F.lit(2.0), F.col("_level"))))
-    met = asked.join(placed, ["pid", "tid", "depth", "_level", "_cell"]).where("low <= t AND t <= high")
-    best = met.groupBy("pid", "tid", "depth", "t").agg(F.min_by("event_id", F.struct("dur", "seq")).alias("event_id"))
-    return probes.join(best, ["pid", "tid", "depth", "t"], "left")
+    met = asked.join(placed.hint("merge"), [*PLACE, "_level", "_cell"]).where("low <= t AND t <= high")
+    return met.groupBy(*PLACE, "t").agg(F.min_by("event_id", F.struct("dur", "seq")).alias("event_id"))

@@ -207,9 +207,10 @@ def j4_flow_one_id(spark, d):
 
 
 def j6_span_at(spark, d):
-    s = _spans(spark, d)
-    probes = s.where("in_thread").select("pid", "tid", "depth", (F.col("ts") + 60_000_000).alias("t")).distinct()
-    return joins.span_at(s, probes, 1000.0)
+    s = plan.build_spans(_events(spark, d).drop("id", "args")).where("in_thread")
+    s = scratch.saved(s.select("pid", "tid", "depth", "event_id", "ts", "end_ts", "dur", "seq", "in_thread"), "spans")
+    probes = s.select("pid", "tid", "depth", (F.col("ts") + 60_000_000).alias("t")).distinct()
+    return joins.span_at(s, scratch.saved(probes, "probes"), 1000.0)  # both are read more than once
 
 
 def j7_children(spark, d):
